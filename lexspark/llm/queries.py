@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import tokenizer, vectors
-from lexspark.sources.tables import table
+from lexspark.llm import encoding, neardup, terms, tokenizer, vectors
+from lexspark.operators.latest import keep_latest, latest_rows, latest_versions
+from lexspark.sources.tables import cut, table
+
+
+def _garbled(decision: DataFrame, fields: list[str]) -> DataFrame:
+    """(cd, field, last_fetched, score, fixes) of current texts that hold damage."""
+    spans = encoding.damaged_spans(decision, "cd", "last_fetched", fields).withColumnsRenamed({"key": "cd", "version": "last_fetched"})
+    return keep_latest(spans, latest_versions(decision, "cd", "last_fetched"), "cd", "last_fetched").dropDuplicates(["cd", "field"])
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -18,10 +25,61 @@ def p1_nearest(spark: SparkSession, root: str) -> DataFrame:
     return vectors.nearest(chunk, chunk.filter("id % 100 = 0"))
 
 
+def _term_counts(spark: SparkSession, root: str) -> DataFrame:
+    chunk = table(spark, root, "chunk").filter(F.col("id").isNotNull()).select("id", "content").dropDuplicates(["id"])
+    body = latest_rows(table(spark, root, "decision"), "cd", "last_fetched", ["cd", "body"])
+    out = None
+    for field, df, text in (("chunk.content", chunk, "content"), ("decision.body", body, "body")):
+        df = cut(df.filter(F.col(text).isNotNull()).select(text))
+        n = df.agg(F.count(F.lit(1)).alias("n_records"))
+        one = terms.marked(terms.ngram_counts(df, text), n).select(F.lit(field).alias("field"), "term", "tf", "df", "mark")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return _term_counts(spark, root).filter(F.col("mark").isNotNull()).select("field", "term", "mark")
+
+
+def p2_counts(spark: SparkSession, root: str) -> DataFrame:
+    return _term_counts(spark, root)
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    decision = table(spark, root, "decision")
+    bad = _garbled(decision.select("cd", "last_fetched", "summary"), ["summary"]).select(F.col("cd").alias("key"))
+    summary = neardup.records(latest_rows(decision, "cd", "last_fetched", ["cd", "summary"]), "cd", "summary", "decision.summary")
+    chunks = neardup.records(table(spark, root, "chunk"), "id", "content", "chunk.content")
+    recs = chunks.unionByName(summary.join(bad, "key", "left_anti"))
+    return neardup.key_pairs(recs, width=3, threshold=0.6).select("field", "key_a", "key_b")
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return _garbled(table(spark, root, "decision"), ["body", "summary"]).select("cd", "field")
+
+
+def p7_restored(spark: SparkSession, root: str) -> DataFrame:
+    decision = table(spark, root, "decision")
+    spans = _garbled(decision, ["body", "summary"]).withColumnsRenamed({"cd": "key", "last_fetched": "version"})
+    return encoding.restored(decision, cut(spans), "cd", "last_fetched").withColumnRenamed("key", "cd")
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokenizer.encode(table(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p8_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_counts, p6_found, p7_found, p7_restored, p8_ids)}
+
+_CURRENT = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cd ORDER BY last_fetched DESC NULLS LAST) AS r FROM decision WHERE cd IS NOT NULL) WHERE r = 1)"
+_TERMS = rf"""
+    WITH rec AS (SELECT DISTINCT 'chunk.content' AS field, id::VARCHAR AS k, content AS t FROM chunk WHERE content IS NOT NULL AND id IS NOT NULL
+                 UNION ALL SELECT 'decision.body', cd, body FROM {_CURRENT} WHERE body IS NOT NULL),
+    n AS (SELECT field, count(*) AS n FROM rec GROUP BY field),
+    w AS (SELECT field, k, unnest(regexp_extract_all(t, '\p{{L}}+')) AS term FROM rec),
+    c AS (SELECT field, term, count(*) AS tf, count(DISTINCT k) AS df FROM w GROUP BY field, term),
+    m AS (SELECT c.field, term, tf, df, CASE WHEN df < 3 THEN 'rare' WHEN 10 * df > 3 * n THEN 'common' END AS mark FROM c JOIN n ON c.field = n.field)"""
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p2_found": _TERMS + " SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
+    "p2_counts": _TERMS + " SELECT field, term, tf, df, mark FROM m",
+}
