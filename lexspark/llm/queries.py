@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import encoding, neardup, terms, tokenizer, vectors
+from lexspark.llm import encoding, neardup, terms, tokenizer, truncation, vectors
 from lexspark.operators.latest import keep_latest, latest_rows, latest_versions
 from lexspark.sources.tables import cut, table
 
@@ -30,9 +30,7 @@ def _term_counts(spark: SparkSession, root: str) -> DataFrame:
     body = latest_rows(table(spark, root, "decision"), "cd", "last_fetched", ["cd", "body"])
     out = None
     for field, df, text in (("chunk.content", chunk, "content"), ("decision.body", body, "body")):
-        df = cut(df.filter(F.col(text).isNotNull()).select(text))
-        n = df.agg(F.count(F.lit(1)).alias("n_records"))
-        one = terms.marked(terms.ngram_counts(df, text), n).select(F.lit(field).alias("field"), "term", "tf", "df", "mark")
+        one = terms.marked(terms.ngram_counts(df, text)).select(F.lit(field).alias("field"), "term", "tf", "df", "mark")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -48,10 +46,11 @@ def p2_counts(spark: SparkSession, root: str) -> DataFrame:
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     decision = table(spark, root, "decision")
     bad = _garbled(decision.select("cd", "last_fetched", "summary"), ["summary"]).select(F.col("cd").alias("key"))
-    summary = neardup.records(latest_rows(decision, "cd", "last_fetched", ["cd", "summary"]), "cd", "summary", "decision.summary")
+    summary = neardup.records(decision, "cd", "summary", "decision.summary", "last_fetched")
     chunks = neardup.records(table(spark, root, "chunk"), "id", "content", "chunk.content")
-    recs = chunks.unionByName(summary.join(bad, "key", "left_anti"))
-    return neardup.key_pairs(recs, width=3, threshold=0.6).select("field", "key_a", "key_b")
+    now = keep_latest(neardup.members(summary, 3), latest_versions(decision, "cd", "last_fetched").withColumnsRenamed({"cd": "key", "last_fetched": "version"}), "key", "version")
+    members = cut(neardup.members(chunks, 3).unionByName(now.join(bad, "key", "left_anti")))
+    return neardup.key_pairs(chunks.unionByName(summary), members, width=3, threshold=0.6).select("field", "key_a", "key_b")
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
@@ -68,7 +67,15 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokenizer.encode(table(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_counts, p6_found, p7_found, p7_restored, p8_ids)}
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return truncation.truncated(table(spark, root, "documents")).filter("cut").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, root: str) -> DataFrame:
+    return truncation.rates(truncation.truncated(table(spark, root, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_counts, p6_found, p7_found, p7_restored, p8_ids, p10_found, p10_rates)}
 
 _CURRENT = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cd ORDER BY last_fetched DESC NULLS LAST) AS r FROM decision WHERE cd IS NOT NULL) WHERE r = 1)"
 _TERMS = rf"""
