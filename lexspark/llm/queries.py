@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import encoding, neardup, terms, tokenizer, truncation, vectors
+from lexspark.llm import encoding, lookalike, mixture, neardup, terms, tokenizer, truncation, vectors
 from lexspark.operators.latest import keep_latest, latest_rows, latest_versions
 from lexspark.sources.tables import cut, table
 
@@ -43,6 +43,29 @@ def p2_counts(spark: SparkSession, root: str) -> DataFrame:
     return _term_counts(spark, root)
 
 
+def _spelled(spark: SparkSession, root: str) -> DataFrame:
+    """(field, key, version, text) of all bodies, of former versions too, and all theme labels."""
+    body = table(spark, root, "decision").select(F.lit("decision.body").alias("field"), F.col("cd").alias("key"), F.col("last_fetched").alias("version"), F.col("body").alias("text"))
+    label = table(spark, root, "theme").select(F.lit("theme.label").alias("field"), F.col("code").cast("string").alias("key"), F.lit(None).cast("timestamp_ntz").alias("version"), F.col("label").alias("text"))
+    return body.unionByName(label)
+
+
+def _now(found: DataFrame, spark: SparkSession, root: str) -> DataFrame:
+    """The rows of labels, and those of bodies that are of current versions."""
+    versions = latest_versions(table(spark, root, "decision"), "cd", "last_fetched").withColumnsRenamed({"cd": "key", "last_fetched": "version"})
+    return found.filter("field <> 'decision.body'").unionByName(keep_latest(found.filter("field = 'decision.body'"), versions, "key", "version"))
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    odd = _now(lookalike.irregular(_spelled(spark, root)), spark, root)
+    garbled = _garbled(table(spark, root, "decision").select("cd", "last_fetched", "body"), ["body"]).select(F.lit("decision.body").alias("field"), F.col("cd").alias("key"))
+    return odd.join(garbled, ["field", "key"], "left_anti").select("field", F.col("key").alias("record_key")).distinct()
+
+
+def p3_forms(spark: SparkSession, root: str) -> DataFrame:
+    return _now(lookalike.normalised(_spelled(spark, root)), spark, root).select("field", F.col("key").alias("record_key"), "text").dropDuplicates(["field", "record_key"])
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     decision = table(spark, root, "decision")
     bad = _garbled(decision.select("cd", "last_fetched", "summary"), ["summary"]).select(F.col("cd").alias("key"))
@@ -67,6 +90,14 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokenizer.encode(table(spark, root, "documents"))
 
 
+def p9_mix(spark: SparkSession, root: str) -> DataFrame:
+    return mixture.mix(table(spark, root, "documents"), table(spark, root, "mix_target"))[0]
+
+
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    return mixture.mix(table(spark, root, "documents"), table(spark, root, "mix_target"))[1]
+
+
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return truncation.truncated(table(spark, root, "documents")).filter("cut").select("doc_id")
 
@@ -75,7 +106,7 @@ def p10_rates(spark: SparkSession, root: str) -> DataFrame:
     return truncation.rates(truncation.truncated(table(spark, root, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_counts, p6_found, p7_found, p7_restored, p8_ids, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_counts, p3_found, p3_forms, p6_found, p7_found, p7_restored, p8_ids, p9_mix, p9_shares, p10_found, p10_rates)}
 
 _CURRENT = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cd ORDER BY last_fetched DESC NULLS LAST) AS r FROM decision WHERE cd IS NOT NULL) WHERE r = 1)"
 _TERMS = rf"""
