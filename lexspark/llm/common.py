@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 6 << 20
 
@@ -43,3 +45,29 @@ def rows_of(offsets: np.ndarray) -> np.ndarray:
 def strings(arr: pa.Array | pa.ChunkedArray) -> pa.Array:
     arr = arr.combine_chunks() if isinstance(arr, pa.ChunkedArray) else arr
     return arr if arr.type == pa.string() else arr.cast(pa.string())
+
+
+BLOOM_BITS = 1 << 24
+
+
+def bloom(df: DataFrame, hashed: Column) -> np.ndarray:
+    """A Bloom filter of BLOOM_BITS bits over 64-bit hashes; at most BLOOM_BITS / 64 words reach the driver.
+
+    Its size does not depend on the data; what it lets through wrongly is
+    removed by the join that follows it.
+    """
+    h = df.select(hashed.alias("h"))
+    pos = h.select(F.explode(F.array(F.col("h").bitwiseAND(BLOOM_BITS - 1), F.shiftrightunsigned("h", 32).bitwiseAND(BLOOM_BITS - 1))).alias("p"))
+    words = pos.groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("m")).toPandas()
+    out = np.zeros(BLOOM_BITS // 64, "i8")
+    out[words["w"].to_numpy(dtype="i8")] = words["m"].to_numpy(dtype="i8")
+    return out.view("u8")
+
+
+def in_bloom(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each hash (u8) may be in the filter."""
+    mask = np.uint64(BLOOM_BITS - 1)
+    hit = np.ones(len(h), bool)
+    for p in (h & mask, (h >> np.uint64(32)) & mask):
+        hit &= (bits[(p >> np.uint64(6)).astype("i8")] >> (p & np.uint64(63))) & np.uint64(1) == 1
+    return hit
