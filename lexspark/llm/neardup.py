@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import flat, rows_of, slices, strings
+from lexspark.llm.common import bloom, flat, in_bloom, rows_of, slices, strings
 from lexspark.sources.tables import cut
 
 WIDTH = 5
@@ -35,11 +35,13 @@ THRESHOLD = 0.8
 #: Places of the permutations; a power of two.
 UNIVERSE = 1 << 20
 NOT_WORDS = r"[^\pL\p{Nd}]+"
+#: Bits of a sketch.
+SKETCH = 256
 #: Members of a bucket that meet in one row.
 BLOCK = 64
 
 
-def bands_for(threshold: float, miss: float = 0.002) -> tuple[int, int]:
+def bands_for(threshold: float, miss: float = 0.02) -> tuple[int, int]:
     """(rows, bands): rows so that dissimilar texts seldom meet, bands so that a pair at the threshold is missed with probability ``miss``."""
     rows = 5 if threshold < 0.75 else 8
     return rows, int(np.ceil(np.log(miss) / np.log1p(-(threshold**rows))))
@@ -114,28 +116,60 @@ def signatures(s: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _bands(width: int, rows: int, bands: int):
+def _signed(width: int, rows: int, bands: int):
+    """Per text and band (bucket, tid, sketch); the sketch, one bit of every coordinate, comes with the first band only."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 2 << 20):
+            _, first = np.unique(part.column("tid").to_numpy(), return_index=True)  # copies within the slice
+            part = part.take(pa.array(np.sort(first)))
             s, offsets = shingle_sets(strings(part.column("text")), width)
             full = np.flatnonzero(np.diff(offsets) > 0)
             if not len(full):
                 continue
-            sig = signatures(s, np.concatenate([offsets[full], offsets[-1:]]), rows * bands).astype("u8")
-            tid = part.column("tid").take(pa.array(full))
+            sig = signatures(s, np.concatenate([offsets[full], offsets[-1:]]), max(SKETCH, rows * bands)).astype("u8")
+            tid = part.column("tid").to_numpy()[full]
             h = np.zeros((len(full), bands), "u8")
             with np.errstate(over="ignore"):
                 for r in range(rows):
-                    h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::rows][:, :bands])
+                    h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, r : rows * bands : rows])
                 h = _mix(h + np.arange(bands, dtype="u8"))
-            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view("i8")), tid.take(pa.array(np.repeat(np.arange(len(full)), bands)))], ["bucket", "tid"])
+            bits = np.packbits((_mix(sig[:, :SKETCH]) & np.uint64(1)).astype("u1"), axis=1)
+            sketch = [bits[i // bands].tobytes() if i % bands == 0 else None for i in range(len(full) * bands)]
+            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view("i8")), pa.array(np.repeat(tid, bands)), pa.array(sketch, pa.binary())], ["bucket", "tid", "sketch"])
+
+    return run
+
+
+def _alike(least: int):
+    """Keeps the pairs whose sketches agree in at least ``least`` bits."""
+    ones = np.array([bin(i).count("1") for i in range(256)], "i4")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "u1").reshape(b.num_rows, -1) for c in ("sa", "sb"))
+            ok = pa.array(SKETCH - ones[x ^ y].sum(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
 
     return run
 
 
-def _sets(width: int):
+def least_agreement(threshold: float) -> int:
+    """Bits that agree for a pair at the threshold, less five standard deviations (a miss of 3e-7)."""
+    p = (1 + threshold) / 2
+    return int(np.floor(SKETCH * p - 5 * np.sqrt(SKETCH * p * (1 - p))))
+
+
+def _sets(width: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
         for part in slices(batches, "text"):
+            hit = in_bloom(bits, part.column("tid").to_numpy().view("u8"))
+            part = part.filter(pa.array(hit))
+            _, first = np.unique(part.column("tid").to_numpy(), return_index=True)
+            part = part.take(pa.array(np.sort(first)))
             s, offsets = shingle_sets(strings(part.column("text")), width)
             value = pa.ListArray.from_arrays(pa.array(offsets.astype("i4")), pa.array(s.view("i8")))
             yield pa.RecordBatch.from_arrays([part.column("tid"), value], ["tid", "grams"])
@@ -163,57 +197,65 @@ def _verify(threshold: float):
     return run
 
 
-def records(df: DataFrame, key: str, text: str, prefix: str) -> DataFrame:
-    """(field, key, tid, text): ``tid`` is a 128-bit hash of the text."""
+def records(df: DataFrame, key: str, text: str, field: str, version: str | None = None) -> DataFrame:
+    """(field, key, version, tid, text): ``tid`` is a 64-bit hash of the text that stands for all its copies."""
     t = F.col(text)
-    return df.filter(F.col(key).isNotNull() & t.isNotNull()).select(F.lit(prefix).alias("field"), F.col(key).cast("string").alias("key"), F.unhex(F.md5(t)).alias("tid"), t.alias("text"))
+    v = F.lit(None).cast("timestamp_ntz") if version is None else F.col(version)
+    return df.filter(F.col(key).isNotNull() & t.isNotNull()).select(F.lit(field).alias("field"), F.col(key).cast("string").alias("key"), v.alias("version"), F.xxhash64(t).alias("tid"), t.alias("text"))
 
 
-def _meeting(buckets: DataFrame) -> DataFrame:
-    """Distinct candidate pairs of the members of all buckets, whatever their size.
+def _meeting(rows: DataFrame, least: int) -> DataFrame:
+    """(a, b) of distinct texts that share a bucket and whose sketches are alike; rows are (bucket, tid, sketch).
 
-    A bucket of up to BLOCK members is one row. A larger one is dealt into g
-    blocks by hash, and every member goes to the g rows of the block pairs it
-    takes part in, so a row holds two blocks at most; g follows from a count.
+    The rows are shuffled by bucket once; counts and members use that same
+    exchange. A bucket of up to BLOCK members is one row. A larger one is dealt
+    into g blocks by hash, and every member goes to the g rows of the block
+    pairs it takes part in, so a row holds two blocks at most.
     """
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    some = buckets.join(sizes, "bucket")
-    g = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = some.withColumn("g", g).withColumn("blk", F.pmod(F.xxhash64("tid"), F.col("g")).cast("int"))
+    spread = rows.repartition("bucket")
+    sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    some = spread.select("bucket", "tid").join(sizes.hint("merge"), "bucket")
+    own = some.withColumn("g", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("tid"), F.col("g")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     cell = dealt.groupBy("bucket", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y")).agg(
         F.array_sort(F.collect_set(F.struct("blk", "tid"))).alias("m")
     )
     left = cell.filter(F.size("m") > 1).select("x", "y", F.explode("m").alias("l"), "m")
-    # inside a block by key; between two blocks the one of the lower block first
+    # inside a block by tid; between two blocks the one of the lower block first
     pair = left.select("x", "y", F.col("l.blk").alias("lb"), F.col("l.tid").alias("l"), F.explode("m").alias("r")).filter(
         (F.col("lb") == F.col("x")) & (F.col("r.blk") == F.col("y")) & ((F.col("x") != F.col("y")) | (F.col("l") < F.col("r.tid")))
     )
-    return pair.select(F.least("l", "r.tid").alias("a"), F.greatest("l", "r.tid").alias("b")).distinct()
+    pairs = pair.select(F.least("l", "r.tid").alias("a"), F.greatest("l", "r.tid").alias("b")).distinct()
+    sketch = spread.filter(F.col("sketch").isNotNull()).groupBy("tid").agg(F.first("sketch").alias("sketch"))
+    x, y = sketch.select(F.col("tid").alias("a"), F.col("sketch").alias("sa")), sketch.select(F.col("tid").alias("b"), F.col("sketch").alias("sb"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(_alike(least), "a long, b long")
 
 
 def similar_texts(texts: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, jaccard) of pairs of different texts (tid, text) at ``threshold`` or more, a < b."""
+    """(a, b, jaccard) of pairs of different texts (tid, text) at ``threshold`` or more, a < b.
+
+    Texts are read where they are, once for the signatures and once for the
+    sets of those in candidate pairs; neither is ever shuffled.
+    """
     rows, bands = bands_for(threshold)
-    texts = texts.select("tid", "text").dropDuplicates(["tid"])
-    texts = cut(texts)
-    found = texts.mapInArrow(_bands(width, rows, bands), "bucket long, tid binary")
-    pairs = cut(_meeting(found))
+    texts = texts.select("tid", "text")
+    pairs = cut(_meeting(texts.mapInArrow(_signed(width, rows, bands), "bucket long, tid long, sketch binary"), least_agreement(threshold)))
     need = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
-    sets = cut(texts.join(need, "tid", "left_semi").mapInArrow(_sets(width), "tid binary, grams array<long>"))
+    bits = texts.sparkSession.sparkContext.broadcast(bloom(need, F.col("tid")))
+    sets = texts.mapInArrow(_sets(width, bits), "tid long, grams array<long>").groupBy("tid").agg(F.first("grams").alias("grams"))
     a, b = sets.select(F.col("tid").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("tid").alias("b"), F.col("grams").alias("gb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ga", "gb").mapInArrow(_verify(threshold), "a binary, b binary, jaccard double")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "ga", "gb").mapInArrow(_verify(threshold), "a long, b long, jaccard double")
 
 
-def key_pairs(recs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
+def key_pairs(recs: DataFrame, members: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """(field, key_a, key_b, jaccard) of all pairs of different keys of one field; key_a < key_b as strings.
 
-    Pairs of representatives are joined with their members, equal texts
-    included; use ``groups`` where copies need not be expanded.
+    ``recs`` are records, perhaps of former versions too; ``members`` (field,
+    key, tid) says whose texts count. Pairs of representatives are joined with
+    their members, equal texts included.
     """
-    recs = cut(recs.select("field", "key", "tid", "text").withColumn("long", F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))) >= width).filter("long").drop("long"))
     near = cut(similar_texts(recs, width, threshold))
-    member = recs.select("field", "tid", "key").distinct()
+    member = members.select("field", "tid", "key").distinct()
     l = member.select(F.col("field"), F.col("tid").alias("a"), F.col("key").alias("ka"))
     r = member.select(F.col("field").alias("fb"), F.col("tid").alias("b"), F.col("key").alias("kb"))
     across = near.join(l, "a").join(r, "b").filter("field = fb").select("field", "ka", "kb", "jaccard")
@@ -222,3 +264,9 @@ def key_pairs(recs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD)
     equal = copy.select("field", "tid", F.col("key").alias("ka")).join(copy.select("field", "tid", F.col("key").alias("kb")), ["field", "tid"]).select("field", "ka", "kb", F.lit(1.0).alias("jaccard"))
     both = across.unionByName(equal).filter("ka <> kb")
     return both.groupBy("field", F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).agg(F.max("jaccard").alias("jaccard"))
+
+
+def members(recs: DataFrame, width: int) -> DataFrame:
+    """(field, key, version, tid) of the records with at least ``width`` words."""
+    words = F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0)))
+    return recs.filter(words >= width).select("field", "key", "version", "tid")
