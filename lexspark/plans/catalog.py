@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.plans import data_queries
+from lexspark.plans import data_queries, relational
 
-_MODULES = [data_queries]
+_MODULES = [data_queries, relational]
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
