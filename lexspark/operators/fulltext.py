@@ -8,13 +8,19 @@ ranking are aggregations and windows over the postings of its terms only.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.functions.text import TOKEN, fold, fold_word, stem, stem_word
+from lexspark.functions.arrow import flat, rows_of, slices, strings
+from lexspark.functions.text import fold, fold_word, stem_word
 
+NOT_TOKEN = r"[^\pL\pN_]+"
 MIN_PREFIX = 5
 MAX_ACRONYM = 6
 MOST_QUERY_CHARS = 600
@@ -40,28 +46,45 @@ _OPERATORS = re.compile(rf"[{_QUOTES}]|(?<!\w)-\w|\b(?:OR|AND)\b")
 _WORDS = re.compile(r"\w+")
 
 
+def _tokens(fields: list[str], weights: list[str], stemmed: bool):
+    """Arrow: (doc, field texts…) to (doc, lexeme, pos, weight); each distinct word of a slice is folded and stemmed once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, fields[-1]):
+            shift = np.zeros(part.num_rows, "i8")
+            for f, w in zip(fields, weights):
+                words, offsets = flat(pc.split_pattern_regex(strings(pc.fill_null(part.column(f), "")), NOT_TOKEN))
+                filled = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+                ends = np.concatenate([[0], np.cumsum(filled)])[offsets]
+                row = rows_of(ends)
+                coded = words.filter(pa.array(filled)).dictionary_encode()
+                folded = [fold_word(x) for x in coded.dictionary.to_pylist()]
+                lexemes = pa.array([stem_word(x) for x in folded] if stemmed else folded, pa.string())
+                pos = np.arange(len(row)) - ends[row] + 1 + shift[row]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc").take(pa.array(row)), lexemes.take(coded.indices), pa.array(pos.astype("i4")), pa.array([w] * len(row), pa.string())], ["doc", "lexeme", "pos", "weight"]
+                )
+                shift += np.diff(ends)
+
+    return run
+
+
+def weighted_postings(df: DataFrame, doc: str, parts: dict[str, str], stemmed: bool = True) -> DataFrame:
+    """(doc, lexeme, pos, weight): the tokens of several fields (column → weight) as one text; positions from 1."""
+    src = df.select(F.col(doc).alias("doc"), *parts)
+    kind = src.schema["doc"].dataType.simpleString()
+    return src.mapInArrow(_tokens(list(parts), list(parts.values()), stemmed), f"doc {kind}, lexeme string, pos int, weight string")
+
+
 def postings(df: DataFrame, doc: str, text: str, stemmed: bool = True, weight: str = "D") -> DataFrame:
-    """(doc, lexeme, pos, weight): every token of ``text``, positions from 1."""
-    word = F.col("word")
-    lexeme = stem(fold(word)) if stemmed else fold(word)
-    return (
-        df.filter(F.col(text).isNotNull())
-        .select(F.col(doc).alias("doc"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))).alias("at", "word"))
-        .select("doc", lexeme.alias("lexeme"), (F.col("at") + 1).alias("pos"), F.lit(weight).alias("weight"))
-    )
-
-
-def weighted_postings(df: DataFrame, doc: str, parts: dict[str, str]) -> DataFrame:
-    """Postings of several fields (column → weight) as one text: each field's positions follow the former's."""
-    shift: Column = F.lit(0)
-    out = None
-    for name, w in parts.items():
-        text = F.coalesce(F.col(name), F.lit(""))
-        src = df.select(F.col(doc).alias("doc"), shift.alias("shift"), F.posexplode(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("at", "word"))
-        one = src.select("doc", stem(fold(F.col("word"))).alias("lexeme"), (F.col("at") + 1 + F.col("shift")).alias("pos"), F.lit(w).alias("weight"))
-        out = one if out is None else out.unionByName(one)
-        shift = shift + F.size(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
-    return out
+    """(doc, lexeme, pos, weight) of one field."""
+    return weighted_postings(df.filter(F.col(text).isNotNull()), doc, {text: weight}, stemmed)
+
+
+def write_index(index: DataFrame, path: str) -> DataFrame:
+    """The postings as a table in the order of lexemes, so that a search reads only the row groups of its terms."""
+    index.repartitionByRange("lexeme", "doc").sortWithinPartitions("lexeme", "doc", "pos").write.mode("overwrite").parquet(path)
+    return index.sparkSession.read.parquet(path)
 
 
 def is_acronym(token: str) -> bool:

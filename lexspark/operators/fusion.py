@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.operators import fulltext, vector
+from lexspark.sources.tables import cut
 
 K = 60
 WEIGHTS = {"chunk_lexical": 1.0, "doc_lexical": 0.5, "semantic": 1.0}
@@ -61,9 +62,10 @@ def hybrid(
 ) -> DataFrame:
     """(doc, score, ranks, matched_by, passages) of a search over decisions (cd, …) and chunks (id, cd, content, embedding).
 
-    One lazy plan: the filter once, each retriever over it with its pool, fusion,
-    and texts only for the winners. If all terms together hit fewer than
-    ``least_hits`` passages and the query was expanded, any term will do.
+    The filter once, each retriever over it with its pool, fusion, and texts
+    only for the winners. If all terms together hit fewer than ``least_hits``
+    passages and the query was expanded, any term will do (a count of at most
+    that many hits decides). Pools are written, so no retriever runs twice.
     """
     if mode not in ("hybrid", "keyword", "semantic"):
         raise ValueError(f"no such mode: {mode}")
@@ -77,18 +79,16 @@ def hybrid(
         def run(t):
             p = fulltext.search(chunk_index, ids, t).join(own.withColumnRenamed("id", "doc"), "doc").orderBy(F.desc("score"), "doc").limit(pool)
             d = fulltext.search(doc_index, docs.select(F.col("cd").alias("doc")), t).orderBy(F.desc("score"), "doc").limit(pool)
-            return p, d
+            return cut(p), cut(d)
 
         p, d = run(tree)
-        if tree.expanded and len(tree.terms) > 1:
-            few = p.agg((F.count(F.lit(1)) < least_hits).alias("few"))
-            q, e = run(tree.relaxed())
-            one = lambda strict, loose: strict.join(F.broadcast(few.filter("not few").select(F.lit(1).alias("_f"))), F.lit(1) == F.col("_f")).drop("_f").unionByName(loose.join(F.broadcast(few.filter("few").select(F.lit(1).alias("_f"))), F.lit(1) == F.col("_f")).drop("_f"))
-            p, d = one(p, q), one(d, e)
+        if tree.expanded and len(tree.terms) > 1 and p.limit(least_hits).count() < least_hits:
+            p, d = run(tree.relaxed())
         hits.append(p.select(F.col("doc").alias("id"), "cd", F.col("score").alias("lex"), F.lit(None).cast("double").alias("sem")))
         lists += [ranked(p, "cd", "chunk_lexical"), ranked(d, "doc", "doc_lexical")]
     if mode != "keyword" and vec is not None:
         s = vector.nearest(chunks.join(docs, "cd", "left_semi"), "id", "embedding", vec, pool).join(own, "id")
+        s = cut(s)
         hits.append(s.select("id", "cd", F.lit(None).cast("double").alias("lex"), F.col("score").alias("sem")))
         lists.append(ranked(s.select("cd", "score"), "cd", "semantic"))
     if not lists:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.plans import data_queries, relational
+from lexspark.plans import data_queries, maintenance, relational, retrieval
 
-_MODULES = [data_queries, relational]
+_MODULES = [data_queries, relational, retrieval, maintenance]
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
