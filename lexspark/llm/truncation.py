@@ -36,7 +36,6 @@ from lexspark.sources.tables import cut
 
 _SPACE = " \t\r\n\u00a0\ufeff\u200b"
 _CLOSED = re.compile(r"(?:(?<!\.)[.]|[!?;\u037e。؟])[\"'»”’)\]]*$")
-_RULED = re.compile(r"[-=_*~#|]{3,}$")
 _DATED = re.compile(r"^[^\W\d_][\w’' .-]{0,60}, \d{1,2}(?:ης|η|er|re|st|nd|rd|th|\.)? [^\W\d_]+\.? \d{4}$|^[^\W\d_][\w’' .-]{0,60}, \d{1,2}[./-]\d{1,2}[./-]\d{4}$")
 #: Usual closing formulas, in any case; others are learnt.
 FORMULAS = ["(υπογραφή)", "ακριβές αντίγραφο", "ο πρόεδρος", "η γραμματέας", "ο γραμματέας", "θεωρήθηκε", "certified true copy", "the registrar", "(signature)", "(signed)", "beglaubigte abschrift", "der urkundsbeamte", "copie conforme", "le greffier", "(signé)", "(gez.)"]
@@ -51,10 +50,12 @@ _STRIP = ".,;:!?()[]«»\"'’”…·–-"
 
 def _closed(t: str) -> bool:
     """Whether a text without trailing blanks ends as a sentence does; ruled lines after it don't matter."""
-    tail = t[-400:]
-    while (m := _RULED.search(tail)) is not None:
-        tail = tail[: m.start()].rstrip(_SPACE)
-    return _CLOSED.search(tail[-12:]) is not None
+    while True:
+        bare = t.rstrip("-=_*~#|")
+        if len(t) - len(bare) < 3:
+            break
+        t = bare.rstrip(_SPACE)
+    return _CLOSED.search(t[-12:]) is not None
 
 
 def _shape(token: str) -> str:

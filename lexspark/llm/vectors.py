@@ -100,8 +100,8 @@ def route(points: np.ndarray, axis: np.ndarray, cutoff: np.ndarray, depth: int)
     return at - (2**depth - 1)
 
 
-def unit_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
-    """(id long, vec binary, vkey long): usable vectors at unit length, as half floats; vkey hashes the vector."""
+def unit_vectors(df: DataFrame, key: str, vector: str, dim: int, kind: str = "f2") -> DataFrame:
+    """(id long, vec binary, vkey long): usable vectors at unit length, as half floats by default; vkey hashes the vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -119,7 +119,7 @@ def unit_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
                 x = x / top[:, None]
                 x = x / np.sqrt((x * x).sum(axis=1))[:, None]
             fine = np.isfinite(x).all(axis=1) & (top > 0)
-            h = x[fine].astype("f2")
+            h = x[fine].astype(kind)
             raw = [r.tobytes() for r in h]
             hashes = np.fromiter((xxhash.xxh64_intdigest(r) for r in raw), "u8", len(raw)).view("i8")
             out = ids.to_numpy(zero_copy_only=False)[good][fine].astype("i8")
@@ -238,8 +238,8 @@ def nearest(df: DataFrame, queries: DataFrame, key: str = "id", vector: str = "e
     each task sends its k best of a query, so a task's output does not depend
     on the number of rows.
     """
-    own = cut(unit_vectors(df, key, vector, dim).groupBy("id").agg(F.first("vec").alias("vec")))
-    asked = unit_vectors(queries, key, vector, dim).groupBy("id").agg(F.first("vec").alias("vec"))
+    own = cut(unit_vectors(df, key, vector, dim, "f4").groupBy("id").agg(F.first("vec").alias("vec")))
+    asked = unit_vectors(queries, key, vector, dim, "f4").groupBy("id").agg(F.first("vec").alias("vec"))
     n_shards = max(1, math.ceil(own.count() / 4096))
     blocks = asked.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(max(1, math.ceil(asked.count() / 1024)))).cast("int"))
     blocks = blocks.groupBy("blk").agg(F.collect_list(F.struct("id", "vec")).alias("qv"))
@@ -253,10 +253,10 @@ def nearest(df: DataFrame, queries: DataFrame, key: str = "id", vector: str = "e
                 sign = (pairs[0]["id"], len(pairs))
                 if sign != last:
                     last = sign
-                    q = np.frombuffer(b"".join(p["vec"] for p in pairs), "f2").reshape(-1, dim).astype("f4")
+                    q = np.frombuffer(b"".join(p["vec"] for p in pairs), "f4").reshape(-1, dim).astype("f4")
                     qi = np.array([p["id"] for p in pairs], "i8")
                 rows = batch.column("rows")[r].as_py()
-                x = np.frombuffer(b"".join(p["vec"] for p in rows), "f2").reshape(-1, dim).astype("f4")
+                x = np.frombuffer(b"".join(p["vec"] for p in rows), "f4").reshape(-1, dim).astype("f4")
                 xi = np.array([p["id"] for p in rows], "i8")
                 s = q @ x.T
                 s[qi[:, None] == xi[None, :]] = -2
