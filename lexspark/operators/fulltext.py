@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions.arrow import flat, rows_of, slices, strings
 from lexspark.functions.text import fold, fold_word, stem_word
+from lexspark.sources.tables import cut
 
 NOT_TOKEN = r"[^\pL\pN_]+"
 MIN_PREFIX = 5
@@ -177,25 +178,26 @@ def plan(query: str, expand: bool = True) -> Query:
     return _websearch(q)
 
 
-def _occurrences(index: DataFrame, query: Query) -> DataFrame:
-    """(doc, pos, weight, term): occurrences of the terms; a phrase is where its first word stands."""
-    singles = [(i, t) for i, t in enumerate(query.terms) if len(t.words) == 1]
-    out = None
-    if singles:
-        hits = F.array_compact(F.array(*[F.when(t.matches(F.col("lexeme")), F.lit(i)) for i, t in singles]))
-        any_of = F.lit(False)
-        for _, t in singles:
-            any_of = any_of | t.matches(F.col("lexeme"))
-        out = index.filter(any_of).select("doc", "pos", "weight", F.explode(hits).alias("term"))
+def _occurrences(index: DataFrame, docs: DataFrame, query: Query) -> DataFrame:
+    """(doc, pos, weight, term): occurrences of the terms; a phrase is where its first word stands.
+
+    The index is read once, for the rows of any term; the rest works on those.
+    """
+    lexeme = F.col("lexeme")
+    wanted = F.lit(False)
+    for t in query.terms:
+        wanted = wanted | (t.matches(lexeme) if len(t.words) == 1 else lexeme.isin(*t.words))
+    rows = cut(index.filter(wanted).join(docs.select("doc"), "doc", "left_semi"))
+    singles = [F.when(t.matches(lexeme), F.lit(i)) for i, t in enumerate(query.terms) if len(t.words) == 1]
+    out = rows.select("doc", "pos", "weight", F.explode(F.array_compact(F.array(*singles))).alias("term")) if singles else None
     for i, t in enumerate(query.terms):
         if len(t.words) < 2:
             continue
-        own = None
-        for k, w in enumerate(t.words):
-            one = index.filter(F.col("lexeme") == w).select("doc", (F.col("pos") - k).alias("pos"), "weight")
-            own = one if own is None else own.join(one.select("doc", "pos"), ["doc", "pos"], "left_semi")
-        own = own.withColumn("term", F.lit(i))
-        out = own if out is None else out.unionByName(own)
+        first, *rest = (rows.filter(lexeme == w).select("doc", (F.col("pos") - k).alias("pos"), "weight") for k, w in enumerate(t.words))
+        for one in rest:
+            first = first.join(one.select("doc", "pos"), ["doc", "pos"], "left_semi")
+        first = first.withColumn("term", F.lit(i))
+        out = first if out is None else out.unionByName(first)
     return out
 
 
@@ -209,7 +211,7 @@ def search(index: DataFrame, docs: DataFrame, query: Query) -> DataFrame:
     if not query.groups:
         return docs.select("doc", F.lit(0.0).alias("score")).limit(0)
     place = {t: i for i, t in enumerate(query.terms)}
-    occ = _occurrences(index, query).join(docs.select("doc"), "doc", "left_semi")
+    occ = _occurrences(index, docs, query)
     has = occ.groupBy("doc").agg(F.collect_set("term").alias("terms"))
     if any(all(t.negated for t in g) for g in query.groups):
         has = docs.select("doc").join(has, "doc", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<int>")))
