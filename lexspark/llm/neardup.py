@@ -213,8 +213,10 @@ def _meeting(rows: DataFrame, least: int) -> DataFrame:
     pairs it takes part in, so a row holds two blocks at most.
     """
     spread = rows.repartition("bucket")
-    sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    some = spread.select("bucket", "tid").join(sizes.hint("merge"), "bucket")
+    # counts and members name the same columns (the conditions on them always hold),
+    # so that both plan the same exchange and the signatures for it are made once
+    sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("t"), F.count("sketch").alias("k")).filter("n > 1 and t is not null and k >= 0").drop("t", "k")
+    some = spread.join(sizes.hint("merge"), "bucket").filter("n > 1 or length(sketch) < 0").drop("sketch")
     own = some.withColumn("g", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("tid"), F.col("g")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     cell = dealt.groupBy("bucket", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y")).agg(
@@ -226,7 +228,7 @@ def _meeting(rows: DataFrame, least: int) -> DataFrame:
         (F.col("lb") == F.col("x")) & (F.col("r.blk") == F.col("y")) & ((F.col("x") != F.col("y")) | (F.col("l") < F.col("r.tid")))
     )
     pairs = pair.select(F.least("l", "r.tid").alias("a"), F.greatest("l", "r.tid").alias("b")).distinct()
-    sketch = spread.filter(F.col("sketch").isNotNull()).groupBy("tid").agg(F.first("sketch").alias("sketch"))
+    sketch = rows.filter(F.col("sketch").isNotNull()).groupBy("tid").agg(F.first("sketch").alias("sketch"))
     x, y = sketch.select(F.col("tid").alias("a"), F.col("sketch").alias("sa")), sketch.select(F.col("tid").alias("b"), F.col("sketch").alias("sb"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(_alike(least), "a long, b long")
 
@@ -239,7 +241,7 @@ def similar_texts(texts: DataFrame, width: int = WIDTH, threshold: float = THRES
     """
     rows, bands = bands_for(threshold)
     texts = texts.select("tid", "text")
-    pairs = cut(_meeting(texts.mapInArrow(_signed(width, rows, bands), "bucket long, tid long, sketch binary"), least_agreement(threshold)))
+    pairs = cut(_meeting(texts.mapInArrow(_signed(width, rows, bands), "bucket long not null, tid long not null, sketch binary"), least_agreement(threshold)))
     need = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
     bits = texts.sparkSession.sparkContext.broadcast(bloom(need, F.col("tid")))
     sets = texts.mapInArrow(_sets(width, bits), "tid long, grams array<long>").groupBy("tid").agg(F.first("grams").alias("grams"))
