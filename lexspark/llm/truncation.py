@@ -15,6 +15,8 @@ A closing line is a last line that stands as it is at the end of several
 different texts and that hardly any other line continues, a place with a full
 date, or one of the usual formulas.
 
+Forms of 64 characters or more are no words, so they have no prefixes here.
+
 Defined results: null, empty and blank texts are no case; repeats of a text
 are cases each; a null source is a source of its own; an empty table gives an
 empty result; other columns are ignored.
