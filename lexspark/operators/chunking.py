@@ -19,6 +19,7 @@ HEADINGS = [r"ΣΚΕΦΘΗΚΕ\s+ΣΥΜΦΩΝΑ\s+ΜΕ\s+ΤΟ\s+ΝΟΜΟ", r"Γ
 _HEADING = re.compile("|".join(HEADINGS))
 # Fixed value: a numbered part at the beginning of a line.
 _NUMBERED = re.compile(r"^\s*(?:[ΙVΧ]{1,5}|[Α-Ω]|\d{1,2})\s*[.)\-]\s+", re.MULTILINE)
+# Fixed value: where a sentence ends.
 _SENTENCE_END = re.compile(r"(?<=[.;·!?])\s+(?=[Α-ΩΆΈΉΊΌΎΏA-Z])")
 
 
