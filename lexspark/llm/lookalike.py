@@ -26,13 +26,14 @@ import functools
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import flat, slices, strings
+from lexspark.llm.common import flat, rows_of, slices, strings
 from lexspark.sources.tables import cut
 
 # Letters of other scripts and the Greek ones they look like.
@@ -174,26 +175,32 @@ def canonical_forms(vocabulary: DataFrame) -> DataFrame:
     return got.select("word", form.alias("form"), "odd").filter(F.col("word") != F.col("form"))
 
 
+#: For RE2, which scans whole columns: a character that may be irregular, or two scripts side by side.
+_MAYBE = (
+    r"[^\x00-\x7f\x{384}-\x{386}\x{388}-\x{3ce}«»–’·\p{Latin}\p{Cyrillic}]|[\x{ff00}-\x{ffef}\x{fb00}-\x{fb06}\x{2100}-\x{214f}]"
+    r"|\p{Greek}[\p{Latin}\p{Cyrillic}]|[\p{Latin}\p{Cyrillic}]\p{Greek}|\p{Latin}\p{Cyrillic}|\p{Cyrillic}\p{Latin}"
+)
+NOT_FOREIGN = r"[^\p{Latin}\p{Cyrillic}]+"
+_MIXED = regex.compile(r"\p{Greek}[\p{Latin}\p{Cyrillic}]|[\p{Latin}\p{Cyrillic}]\p{Greek}|\p{Latin}\p{Cyrillic}|\p{Cyrillic}\p{Latin}")
+
+
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with an irregular character outside or inside words, or a word that may only look Greek: (field, key, version, word).
 
     An empty word says that the text is irregular by its characters alone.
     """
-    greek_only = regex.compile(r"[\x00-\x7f΄-ώ«»–’·]*")
-    latin = regex.compile(r"\b[\p{Latin}\p{Cyrillic}]+\b")
-    mixed = regex.compile(r"[\p{Greek}][\p{Latin}\p{Cyrillic}]|[\p{Latin}\p{Cyrillic}][\p{Greek}]|[\p{Latin}]\p{Cyrillic}|\p{Cyrillic}\p{Latin}")
     for part in slices(batches, "text"):
-        rows, out = [], []
-        for i, t in enumerate(part.column("text").to_pylist()):
-            if (not greek_only.fullmatch(t) and IRREGULAR.search(t)) or mixed.search(t):
-                rows.append(i)
-                out.append("")
-                continue
-            for w in {w for w in latin.findall(t) if greek_look(w) is not None}:
-                rows.append(i)
-                out.append(w)
-        at = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([part.column(c).take(at) for c in ("field", "key", "version")] + [pa.array(out, pa.string())], ["field", "key", "version", "word"])
+        text = strings(part.column("text"))
+        maybe = np.flatnonzero(pc.match_substring_regex(text, _MAYBE).to_numpy(zero_copy_only=False))
+        sure = [i for i, t in zip(maybe.tolist(), text.take(pa.array(maybe)).to_pylist()) if IRREGULAR.search(t) or _MIXED.search(t)]
+        own, offsets = flat(pc.split_pattern_regex(text, NOT_FOREIGN))
+        coded = own.dictionary_encode()
+        looks = np.array([w != "" and greek_look(w) is not None for w in coded.dictionary.to_pylist()], bool)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(looks[codes]) if len(codes) else np.zeros(0, "i8")
+        rows = np.concatenate([np.array(sure, "i8"), rows_of(offsets)[at]])
+        words = pa.concat_arrays([pa.array([""] * len(sure), pa.string()), strings(coded.dictionary.take(pa.array(codes[at])))])
+        yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(rows)) for c in ("field", "key", "version")] + [words], ["field", "key", "version", "word"])
 
 
 def irregular(recs: DataFrame) -> DataFrame:
