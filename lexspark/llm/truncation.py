@@ -12,10 +12,13 @@ text has just the length (in characters or bytes) at which texts of its source
 pile up; length alone decides nothing, as complete texts may have any length.
 
 A closing line is a last line that stands as it is at the end of several
-different texts and that hardly any other line continues, a place with a full
-date, or one of the usual formulas.
+different texts (the more texts there are, the more of them are asked for) and
+that hardly any other line continues, be it by a word or by a character; a
+place with a full date; or one of the usual formulas. A line that ends in an
+unknown proper prefix is not learnt.
 
-Forms of 64 characters or more are no words, so they have no prefixes here.
+Forms of 64 characters or more are no words, so they have no prefixes here and
+no line that ends in one is learnt.
 
 Defined results: null, empty and blank texts are no case; repeats of a text
 are cases each; a null source is a source of its own; an empty table gives an
@@ -42,6 +45,7 @@ _DATED = re.compile(r"^[^\W\d_][\w’' .-]{0,60}, \d{1,2}(?:ης|η|er|re|st|nd|
 #: Usual closing formulas, in any case; others are learnt.
 FORMULAS = ["(υπογραφή)", "ακριβές αντίγραφο", "ο πρόεδρος", "η γραμματέας", "ο γραμματέας", "θεωρήθηκε", "certified true copy", "the registrar", "(signature)", "(signed)", "beglaubigte abschrift", "der urkundsbeamte", "copie conforme", "le greffier", "(signé)", "(gez.)"]
 _SIGN = re.compile(r"(?:…|\.\.\.|\[|\(|-|�|\[\s*…?\s*\]|>>|→)$")
+#: Texts a learnt line must end at least; one more for every tenfold of unclosed texts above a thousand.
 LEAST_TEXTS = 3
 LINE_WORDS = 6
 _DIGITS = re.compile(r"\d+")
@@ -125,14 +129,39 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             short = len(parts) <= LINE_WORDS and at >= 0
             low = line.lower()
             closing = _DATED.match(line) is not None or any(low == f or low.startswith(f + " ") and len(low) < 60 and not _SIGN.search(low) for f in FORMULAS)
-            row = (i, source, closed, closing, _DIGITS.sub("9", line) if short else None, kind, ctx, form, len(text), len(text.encode()))
+            row = (i, source, closed, closing, _DIGITS.sub("9", " ".join(parts)) if short else None, kind, ctx, form, len(text), len(text.encode()))
             for c, v in zip(cols, row):
                 c.append(v)
         types = [pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
         arrays = [pa.array(c, t) for c, t in zip(cols, types)]
         names = ["source", "closed", "closing", "line", "kind", "ctx", "form", "chars", "bytes"]
         sign = pa.array([_SIGN.search(x.rstrip(_SPACE)) is not None for x in part.column("text").take(arrays[0]).to_pylist()])
-        yield pa.RecordBatch.from_arrays([part.column("id").take(arrays[0]), *arrays[1:], part.column("h").take(arrays[0]), sign], ["id", *names, "h", "sign"])
+        bare = pa.array([x.rstrip(_SPACE)[-1].isalnum() for x in part.column("text").take(arrays[0]).to_pylist()], pa.bool_())
+        yield pa.RecordBatch.from_arrays([part.column("id").take(arrays[0]), *arrays[1:], part.column("h").take(arrays[0]), sign, bare], ["id", *names, "h", "sign", "bare"])
+
+
+def _continued(src: DataFrame, lines: DataFrame) -> DataFrame:
+    """(line, longer): for every line given, how many lines of the texts go on after it, within its last word or after it."""
+    word = F.substring_index("line", " ", -1)
+    wanted = lines.select("line", F.expr("left(line, length(line) - length(substring_index(line, ' ', -1)))").alias("head"), word.alias("word")).filter(F.length("word") < 64)
+    # words before the last one looked at, that word, lines with both, and those with more after them
+    first = F.regexp_extract("l", rf"(?U)^\s*(\S+(?:\s+\S+){{0,{LINE_WORDS}}})", 1)
+    parts = (
+        src.select(F.explode(F.split("text", "\n")).alias("l"))
+        .select(F.split(F.regexp_replace(first, r"\d+", "9"), r"(?U)\s+").alias("w"))
+        .select("w", F.explode(F.sequence(F.lit(1), F.least(F.lit(LINE_WORDS), F.size("w")))).alias("k"))
+        .select(F.expr("concat_ws(' ', slice(w, 1, k - 1), if(k > 1, '', null))").alias("head"), F.expr("left(w[k - 1], 64)").alias("word"), (F.size("w") > F.col("k")).cast("long").alias("more"))
+        .groupBy("head", "word")
+        .agg(F.count(F.lit(1)).alias("all"), F.sum("more").alias("more"))
+    )
+    near = parts.join(wanted.select("head").distinct(), "head", "left_semi").filter("word <> ''")
+    longer = (
+        near.select("head", F.length("word").alias("size"), "all", "more", "word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("k"))
+        .select("head", F.expr("left(word, k)").alias("word"), F.when(F.col("k") < F.col("size"), F.col("all")).otherwise(F.col("more")).alias("n"))
+        .groupBy("head", "word")
+        .agg(F.sum("n").alias("longer"))
+    )
+    return wanted.join(longer, ["head", "word"], "left").select("line", F.coalesce("longer", F.lit(0)).alias("longer"))
 
 
 def truncated(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -143,13 +172,13 @@ def truncated(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
     ends = cut(
         src.mapInArrow(
             _ends,
-            f"id {kind}, source string, closed boolean, closing boolean, line string, kind string, ctx string, form string, chars long, bytes long, h long, sign boolean",
+            f"id {kind}, source string, closed boolean, closing boolean, line string, kind string, ctx string, form string, chars long, bytes long, h long, sign boolean, bare boolean",
         )
     )
     forms = src.select("text").mapInArrow(_forms, "kind string, ctx string, form string, n long, m long")
     forms = cut(forms.groupBy("kind", "ctx", "form").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).filter("form <> ''"))
     # the trie: prefixes of known forms, only where some text ends in such a form
-    finals = ends.filter("kind <> ''").select("kind", "ctx", "form").distinct()
+    finals = ends.filter("kind <> ''").groupBy("kind", "ctx", "form").agg(F.count_distinct("h").alias("ending"))
     tails = forms.filter("kind <> 'dot'").select("kind", "ctx", "form", "n")
     prefixes = (
         tails.filter(F.length("form") < 64)
@@ -160,16 +189,10 @@ def truncated(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
     )
     known = finals.join(forms, ["kind", "ctx", "form"], "left").join(prefixes, ["kind", "ctx", "form"], "left").fillna(0, ["n", "m", "longer"])
     # last lines that close: in several different texts, and hardly ever continued
-    lines = ends.filter("not closed and line is not null and not sign").groupBy("line").agg(F.count_distinct("h").alias("texts")).filter(F.col("texts") >= LEAST_TEXTS)
-    heads = (
-        src.select(F.explode(F.split("text", "\n")).alias("l"))
-        .select(F.split(F.trim(F.regexp_replace(F.substring("l", 1, 160), r"\d+", "9")), " +").alias("w"))
-        .filter(F.size("w") > 1)
-        .select(F.explode(F.expr(f"transform(sequence(1, least({LINE_WORDS}, size(w) - 1)), k -> array_join(slice(w, 1, k), ' '))")).alias("line"))
-        .groupBy("line")
-        .agg(F.count(F.lit(1)).alias("longer"))
-    )
-    learnt = lines.join(heads, "line", "left").fillna(0, ["longer"]).filter(F.col("longer") * 10 < F.col("texts")).select("line", F.lit(True).alias("learnt"))
+    least = ends.agg(F.greatest(F.lit(LEAST_TEXTS), F.ceil(F.log10(F.greatest(F.count_if(~F.col("closed")), F.lit(1))))).alias("least"))
+    lines = ends.filter("not closed and line is not null and not sign").groupBy("line").agg(F.count_distinct("h").alias("texts"))
+    lines = lines.crossJoin(F.broadcast(least)).filter("texts >= least").select("line", "texts")
+    learnt = lines.join(_continued(src, lines), "line").filter(F.col("longer") * 10 < F.col("texts")).select("line", F.lit(True).alias("learnt"))
     # where lengths of a source pile up: at least five texts and twenty times what an even spread would give
     spread = ends.select("source", F.explode(F.array(F.struct(F.lit("c").alias("u"), F.col("chars").alias("v")), F.struct(F.lit("b").alias("u"), F.col("bytes").alias("v")))).alias("x"))
     piles = spread.groupBy("source", F.col("x.u").alias("u"), F.col("x.v").alias("v")).agg(F.count(F.lit(1)).alias("k"))
@@ -180,10 +203,12 @@ def truncated(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
     e = ends.join(known.withColumnRenamed("n", "known_n"), ["kind", "ctx", "form"], "left").join(learnt, "line", "left")
     e = e.join(c, e["source"].eqNullSafe(c["cs"]) & (F.col("chars") == F.col("cv")), "left")
     e = e.join(b, e["source"].eqNullSafe(b["bs"]) & (F.col("bytes") == F.col("bv")), "left")
-    e = e.fillna(0, ["known_n", "m", "longer"]).fillna(False, ["learnt", "at_c", "at_b"])
+    e = e.fillna(0, ["known_n", "m", "longer", "ending"]).fillna(False, ["learnt", "at_c", "at_b"])
     in_word = F.col("kind").isin("word", "num") & (F.col("known_n") == 0) & (F.col("longer") > 0)
+    # the last word itself is left out of the counts, so a closing word may be unknown too: it ends more texts than there are words that go on
+    broken_off = in_word & F.col("bare") & (F.col("longer") > F.col("ending"))
     goes_on = (F.col("kind") == "dot") & (F.col("known_n") >= 3) & (F.col("m") * 10 >= F.col("known_n") * 8)
-    closing = (F.col("closing") | F.col("learnt")) & ~F.col("sign")
+    closing = (F.col("closing") | F.col("learnt") & ~broken_off) & ~F.col("sign")
     is_cut = F.when(F.col("closed"), F.when(F.col("kind") == "num", in_word).otherwise(goes_on)).otherwise(~closing)
     return e.select(F.col("id").alias(key), "source", is_cut.alias("cut"), in_word.alias("in_word"), "sign", (F.col("at_c") | F.col("at_b")).alias("at_limit"))
 

@@ -231,6 +231,21 @@ def test_number_cut_before_its_end(spark):
     assert [r["doc_id"] for r in truncation.truncated(df).filter("cut").collect()] == [50]
 
 
+def test_no_closing_line_is_learnt_from_cuts(spark):
+    whole = corpus(60) + [t + "\nΗ εκκαλούσα εταιρεία νίκησε." for t in corpus(6, 7)] + [t + "\nΘέση σφραγίδας" for t in corpus(8, 6)]
+    cut = [t + "\nΗ εκκαλ" for t in corpus(5, 8)] + [t + "\nΗ εκκαλούσα" for t in corpus(5, 9)] + [t + "\nΗ" for t in corpus(5, 10)] + [t + "\nΤέλος ανα" for t in corpus(5, 11)]
+    whole += [t + " Αναβάλλει αναβολή αναίρεση ανατροπή αναγκαία αναδοχή ανακοπή." for t in corpus(4, 12)]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(whole + cut)], "doc_id long, text string, source string")
+    n = len(whole)
+    assert sorted(r["doc_id"] for r in truncation.truncated(df).filter("cut").collect()) == list(range(n, n + len(cut)))
+
+
+def test_lines_are_continued_by_characters(spark):
+    texts = spark.createDataFrame([("Η αγωγή\nΗ αίτηση 12 της",), ("Η α",), ("Η  αγωγή",), ("x " * 200,)], "text string")
+    lines = spark.createDataFrame([("Η α",), ("Η αγωγή",), ("Η αίτηση 9",), ("Η",), ("x x x x x x",), ("ω",)], "line string")
+    assert {r["line"]: r["longer"] for r in truncation._continued(texts, lines).collect()} == {"Η α": 3, "Η αγωγή": 0, "Η αίτηση 9": 1, "Η": 4, "x x x x x x": 1, "ω": 0}
+
+
 def test_ruled_tail_is_linear():
     assert truncation._closed("x." + "-" * 100_000)
 
