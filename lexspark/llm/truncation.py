@@ -7,9 +7,12 @@ of its own); abbreviations, that is tokens with a full stop after which the
 sentence goes on; and whole lines. The last token of every text is left out of
 the counts. A text is cut if its end is no end of a sentence and no closing
 line, or if it only looks like one: its last token is an unknown proper prefix
-of known forms, or an abbreviation. The evidence says which, and whether the
+of known forms (which outweighs a closing line: if more words go on from it
+than texts end in it, or a tenth as many and the text has the length of a
+limit), or an abbreviation. The evidence says which, and whether the
 text has just the length (in characters or bytes) at which texts of its source
-pile up; length alone decides nothing, as complete texts may have any length.
+pile up; length alone decides nothing, as complete texts may have any length. A text cut
+between words has no such prefix; it is found by its end alone.
 
 A closing line is a last line that stands as it is at the end of several
 different texts (the more texts there are, the more of them are asked for) and
@@ -107,7 +110,7 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What the end of every text looks like."""
     for part in slices(batches, "text"):
-        cols: list[list] = [[] for _ in range(10)]
+        cols: list[list] = [[] for _ in range(11)]
         for i, (text, source) in enumerate(zip(part.column("text").to_pylist(), part.column("source").to_pylist())):
             t = text.rstrip(_SPACE)
             if not t:
@@ -128,13 +131,15 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     kind, form = "word", w[-1]
             short = len(parts) <= LINE_WORDS and at >= 0
             low = line.lower()
-            closing = _DATED.match(line) is not None or any(low == f or low.startswith(f + " ") and len(low) < 60 and not _SIGN.search(low) for f in FORMULAS)
-            row = (i, source, closed, closing, _DIGITS.sub("9", " ".join(parts)) if short else None, kind, ctx, form, len(text), len(text.encode()))
+            # a full date and a whole formula are known to the end
+            whole = _DATED.match(line) is not None or low in FORMULAS
+            closing = whole or any(low.startswith(f + " ") and len(low) < 60 and not _SIGN.search(low) for f in FORMULAS)
+            row = (i, source, closed, closing, _DIGITS.sub("9", " ".join(parts)) if short else None, kind, ctx, form, len(text), len(text.encode()), whole)
             for c, v in zip(cols, row):
                 c.append(v)
-        types = [pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+        types = [pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
         arrays = [pa.array(c, t) for c, t in zip(cols, types)]
-        names = ["source", "closed", "closing", "line", "kind", "ctx", "form", "chars", "bytes"]
+        names = ["source", "closed", "closing", "line", "kind", "ctx", "form", "chars", "bytes", "whole"]
         sign = pa.array([_SIGN.search(x.rstrip(_SPACE)) is not None for x in part.column("text").take(arrays[0]).to_pylist()])
         bare = pa.array([x.rstrip(_SPACE)[-1].isalnum() for x in part.column("text").take(arrays[0]).to_pylist()], pa.bool_())
         yield pa.RecordBatch.from_arrays([part.column("id").take(arrays[0]), *arrays[1:], part.column("h").take(arrays[0]), sign, bare], ["id", *names, "h", "sign", "bare"])
@@ -172,7 +177,7 @@ def truncated(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
     ends = cut(
         src.mapInArrow(
             _ends,
-            f"id {kind}, source string, closed boolean, closing boolean, line string, kind string, ctx string, form string, chars long, bytes long, h long, sign boolean, bare boolean",
+            f"id {kind}, source string, closed boolean, closing boolean, line string, kind string, ctx string, form string, chars long, bytes long, whole boolean, h long, sign boolean, bare boolean",
         )
     )
     forms = src.select("text").mapInArrow(_forms, "kind string, ctx string, form string, n long, m long")
@@ -205,12 +210,13 @@ def truncated(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
     e = e.join(b, e["source"].eqNullSafe(b["bs"]) & (F.col("bytes") == F.col("bv")), "left")
     e = e.fillna(0, ["known_n", "m", "longer", "ending"]).fillna(False, ["learnt", "at_c", "at_b"])
     in_word = F.col("kind").isin("word", "num") & (F.col("known_n") == 0) & (F.col("longer") > 0)
+    at_limit = F.col("at_c") | F.col("at_b")
     # the last word itself is left out of the counts, so a closing word may be unknown too: it ends more texts than there are words that go on
-    broken_off = in_word & F.col("bare") & (F.col("longer") > F.col("ending"))
+    broken_off = in_word & F.col("bare") & ~F.col("whole") & ((F.col("longer") > F.col("ending")) | at_limit & (F.col("longer") * 10 > F.col("ending")))
     goes_on = (F.col("kind") == "dot") & (F.col("known_n") >= 3) & (F.col("m") * 10 >= F.col("known_n") * 8)
-    closing = (F.col("closing") | F.col("learnt") & ~broken_off) & ~F.col("sign")
+    closing = (F.col("closing") | F.col("learnt")) & ~broken_off & ~F.col("sign")
     is_cut = F.when(F.col("closed"), F.when(F.col("kind") == "num", in_word).otherwise(goes_on)).otherwise(~closing)
-    return e.select(F.col("id").alias(key), "source", is_cut.alias("cut"), in_word.alias("in_word"), "sign", (F.col("at_c") | F.col("at_b")).alias("at_limit"))
+    return e.select(F.col("id").alias(key), "source", is_cut.alias("cut"), in_word.alias("in_word"), "sign", at_limit.alias("at_limit"))
 
 
 def rates(found: DataFrame) -> DataFrame:

@@ -240,6 +240,15 @@ def test_no_closing_line_is_learnt_from_cuts(spark):
     assert sorted(r["doc_id"] for r in truncation.truncated(df).filter("cut").collect()) == list(range(n, n + len(cut)))
 
 
+def test_an_unknown_prefix_outweighs_a_closing_line(spark):
+    whole = corpus(60) + [t + "\nΟ Πρόεδρος Πρωτοδικών" for t in corpus(4, 6)] + [t + "\nΑκριβές αντίγραφο" for t in corpus(4, 7)] + ["Ο Πρόεδρος Εφετών απουσίαζε, τα ακριβές αντίγραφου λείπουν."] * 9
+    cut = [t + "\nΟ Πρόεδρος Εφετ" for t in corpus(3, 8)] + ["Ο Πρόεδρος Παπαδόπου"]
+    whole += ["Ο δικηγόρος Παπαδόπουλος και ο γιατρός Παπαδόπουλος ήρθαν."]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(whole + cut)], "doc_id long, text string, source string")
+    n = len(whole)
+    assert sorted(r["doc_id"] for r in truncation.truncated(df).filter("cut").collect()) == list(range(n, n + len(cut)))
+
+
 def test_lines_are_continued_by_characters(spark):
     texts = spark.createDataFrame([("Η αγωγή\nΗ αίτηση 12 της",), ("Η α",), ("Η  αγωγή",), ("x " * 200,)], "text string")
     lines = spark.createDataFrame([("Η α",), ("Η αγωγή",), ("Η αίτηση 9",), ("Η",), ("x x x x x x",), ("ω",)], "line string")
