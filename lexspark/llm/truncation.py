@@ -17,7 +17,8 @@ between words has no such prefix; it is found by its end alone.
 A closing line is a last line that stands as it is at the end of several
 different texts (the more texts there are, the more of them are asked for) and
 that hardly any other line continues, be it by a word or by a character; a
-place with a full date; or one of the usual formulas. A line that ends in an
+place with a full date; or usual formulas, each whole and with at most a name
+after it, unless ten times as many lines go on from them as end there. A line that ends in an
 unknown proper prefix is not learnt.
 
 Forms of 64 characters or more are no words, so they have no prefixes here and
@@ -45,8 +46,11 @@ from lexspark.sources.tables import cut
 _SPACE = " \t\r\n\u00a0\ufeff\u200b"
 _CLOSED = re.compile(r"(?:(?<!\.)[.]|[!?;\u037e。؟])[\"'»”’)\]]*$")
 _DATED = re.compile(r"^[^\W\d_][\w’' .-]{0,60}, \d{1,2}(?:ης|η|er|re|st|nd|rd|th|\.)? [^\W\d_]+\.? \d{4}$|^[^\W\d_][\w’' .-]{0,60}, \d{1,2}[./-]\d{1,2}[./-]\d{4}$")
-#: Usual closing formulas, in any case; others are learnt.
-FORMULAS = ["(υπογραφή)", "ακριβές αντίγραφο", "ο πρόεδρος", "η γραμματέας", "ο γραμματέας", "θεωρήθηκε", "certified true copy", "the registrar", "(signature)", "(signed)", "beglaubigte abschrift", "der urkundsbeamte", "copie conforme", "le greffier", "(signé)", "(gez.)"]
+#: Usual closing formulas, whole lines in any case; others are learnt.
+FORMULAS = ["(υπογραφή)", "ακριβές αντίγραφο", "ο πρόεδρος", "η γραμματέας", "ο γραμματέας", "η γραμματέας της έδρας", "ο γραμματέας της έδρας", "θεωρήθηκε", "θεωρήθηκε αυθημερόν", "certified true copy", "the registrar", "(signature)", "(signed)", "beglaubigte abschrift", "der urkundsbeamte", "copie conforme", "le greffier", "(signé)", "(gez.)"]
+#: What joins two formulas in a line, and the name or office that may follow one: words with a capital, the last one no initial.
+_JOINT = re.compile(r" [–—/|-] |, | και | and | und | et ")
+_NAME = re.compile(r"(?:[^\W\d_a-zα-ωάέήίόύώ][\w.’'-]* )*[^\W\d_a-zα-ωάέήίόύώ][\w’'-]{2,}")
 _SIGN = re.compile(r"(?:…|\.\.\.|\[|\(|-|�|\[\s*…?\s*\]|>>|→)$")
 #: Texts a learnt line must end at least; one more for every tenfold of unclosed texts above a thousand.
 LEAST_TEXTS = 3
@@ -67,6 +71,25 @@ def _closed(t: str) -> bool:
     return _CLOSED.search(t[-12:]) is not None
 
 
+def _formulas(low: str, line: str) -> bool:
+    """Whether a line (and the same in small letters) is made of whole formulas, with names after them or not."""
+    if low in FORMULAS:
+        return True
+    if len(line) >= 120 or len(low) != len(line):
+        return False
+    at = 0
+    for m in [*_JOINT.finditer(low), None]:
+        part, name = low[at : m.start() if m else None], line[at : m.start() if m else None]
+        if part not in FORMULAS:
+            # the joint may stand between a formula and a name, too
+            starts = [f for f in FORMULAS if part.startswith(f + " ")]
+            rest = name[len(max(starts, key=len)) + 1 :] if starts else name
+            if at == 0 and not starts or not _NAME.fullmatch(rest):
+                return False
+        at = m.end() if m else at
+    return True
+
+
 def _shape(token: str) -> str:
     return _DIGITS.sub("9", token.strip(_STRIP))
 
@@ -133,7 +156,7 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low = line.lower()
             # a full date and a whole formula are known to the end
             whole = _DATED.match(line) is not None or low in FORMULAS
-            closing = whole or any(low.startswith(f + " ") and len(low) < 60 and not _SIGN.search(low) for f in FORMULAS)
+            closing = whole or _formulas(low, line)
             row = (i, source, closed, closing, _DIGITS.sub("9", " ".join(parts)) if short else None, kind, ctx, form, len(text), len(text.encode()), whole)
             for c, v in zip(cols, row):
                 c.append(v)
@@ -196,8 +219,9 @@ def truncated(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
     # last lines that close: in several different texts, and hardly ever continued
     least = ends.agg(F.greatest(F.lit(LEAST_TEXTS), F.ceil(F.log10(F.greatest(F.count_if(~F.col("closed")), F.lit(1))))).alias("least"))
     lines = ends.filter("not closed and line is not null and not sign").groupBy("line").agg(F.count_distinct("h").alias("texts"))
-    lines = lines.crossJoin(F.broadcast(least)).filter("texts >= least").select("line", "texts")
-    learnt = lines.join(_continued(src, lines), "line").filter(F.col("longer") * 10 < F.col("texts")).select("line", F.lit(True).alias("learnt"))
+    lines = lines.crossJoin(F.broadcast(least)).filter((F.col("texts") >= F.col("least")) | F.lower("line").isin(FORMULAS))
+    counted = lines.join(_continued(src, lines), "line")
+    learnt = counted.select("line", ((F.col("texts") >= F.col("least")) & (F.col("longer") * 10 < F.col("texts"))).alias("learnt"), (F.col("longer") > F.col("texts") * 10).alias("goes_on"))
     # where lengths of a source pile up: at least five texts and twenty times what an even spread would give
     spread = ends.select("source", F.explode(F.array(F.struct(F.lit("c").alias("u"), F.col("chars").alias("v")), F.struct(F.lit("b").alias("u"), F.col("bytes").alias("v")))).alias("x"))
     piles = spread.groupBy("source", F.col("x.u").alias("u"), F.col("x.v").alias("v")).agg(F.count(F.lit(1)).alias("k"))
@@ -208,13 +232,13 @@ def truncated(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
     e = ends.join(known.withColumnRenamed("n", "known_n"), ["kind", "ctx", "form"], "left").join(learnt, "line", "left")
     e = e.join(c, e["source"].eqNullSafe(c["cs"]) & (F.col("chars") == F.col("cv")), "left")
     e = e.join(b, e["source"].eqNullSafe(b["bs"]) & (F.col("bytes") == F.col("bv")), "left")
-    e = e.fillna(0, ["known_n", "m", "longer", "ending"]).fillna(False, ["learnt", "at_c", "at_b"])
+    e = e.fillna(0, ["known_n", "m", "longer", "ending"]).fillna(False, ["learnt", "goes_on", "at_c", "at_b"])
     in_word = F.col("kind").isin("word", "num") & (F.col("known_n") == 0) & (F.col("longer") > 0)
     at_limit = F.col("at_c") | F.col("at_b")
     # the last word itself is left out of the counts, so a closing word may be unknown too: it ends more texts than there are words that go on
     broken_off = in_word & F.col("bare") & ~F.col("whole") & ((F.col("longer") > F.col("ending")) | at_limit & (F.col("longer") * 10 > F.col("ending")))
     goes_on = (F.col("kind") == "dot") & (F.col("known_n") >= 3) & (F.col("m") * 10 >= F.col("known_n") * 8)
-    closing = (F.col("closing") | F.col("learnt")) & ~broken_off & ~F.col("sign")
+    closing = (F.col("closing") & ~F.col("goes_on") | F.col("learnt")) & ~broken_off & ~F.col("sign")
     is_cut = F.when(F.col("closed"), F.when(F.col("kind") == "num", in_word).otherwise(goes_on)).otherwise(~closing)
     return e.select(F.col("id").alias(key), "source", is_cut.alias("cut"), in_word.alias("in_word"), "sign", at_limit.alias("at_limit"))
 

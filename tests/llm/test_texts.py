@@ -249,6 +249,20 @@ def test_an_unknown_prefix_outweighs_a_closing_line(spark):
     assert sorted(r["doc_id"] for r in truncation.truncated(df).filter("cut").collect()) == list(range(n, n + len(cut)))
 
 
+def test_formulas_close_only_whole(spark):
+    ends = ["Ο Πρόεδρος – Η Γραμματέας", "Η Γραμματέας της έδρας", "Θεωρήθηκε αυθημερόν", "Ο Πρόεδρος Ν. Παπάς", "The Registrar, John Smith", "Ο Πρόεδρος Ν. Παπάς – Η Γραμματέας Μ. Παππά", "(υπογραφή)"]
+    broken = ["Θεωρήθηκε αυθημ", "Ο Πρόεδρος – Η Γραμμ", "Η Γραμματέας της έδ", "Ο Πρόεδρος ανέφερε ότι η", "Ο Πρόεδρος – Η", "The Registrar of"]
+    texts = [f"{t}\n{e}" for t, e in zip(corpus(len(ends + broken), 9), ends + broken)]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert sorted(r["doc_id"] for r in truncation.truncated(df).filter("cut").collect()) == list(range(len(ends), len(texts)))
+
+
+def test_a_formula_that_others_continue_is_cut(spark):
+    texts = [t + "\nΗ Γραμματέας της έδρας" for t in corpus(15, 9)] + [corpus(1, 10)[0] + "\nΗ Γραμματέας"]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert [r["doc_id"] for r in truncation.truncated(df).filter("cut").collect()] == [15]
+
+
 def test_lines_are_continued_by_characters(spark):
     texts = spark.createDataFrame([("Η αγωγή\nΗ αίτηση 12 της",), ("Η α",), ("Η  αγωγή",), ("x " * 200,)], "text string")
     lines = spark.createDataFrame([("Η α",), ("Η αγωγή",), ("Η αίτηση 9",), ("Η",), ("x x x x x x",), ("ω",)], "line string")
