@@ -276,17 +276,18 @@ def viterbi(pos: list[int], gain: list[float], way: list[str]) -> tuple[float, l
     return score, out[::-1]
 
 
-def damaged_spans(df: DataFrame, key: str, version: str, fields: list[str]) -> DataFrame:
+def damaged_spans(df: DataFrame, key: str, version: str, fields: list[str], wanted: list[str] | None = None) -> DataFrame:
     """(key, version, field, score, fixes): the texts that hold damage; fixes are (pos, token, meant, complete, way).
 
-    Runs over all rows; the caller keeps the current ones.
+    Words are counted over all fields; texts are those of the fields wanted
+    (all if none are named). Runs over all rows; the caller keeps the current ones.
     """
     vocabulary = cut(tokens(df, fields))
     bad = cut(damaged_tokens(vocabulary))
     spark = df.sparkSession
     bits = spark.sparkContext.broadcast(bloom(bad, F.xxhash64("token")))
     found = None
-    for f in fields:
+    for f in wanted or fields:
         src = df.filter(F.col(f).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(version).alias("version"), F.col(f).alias("text"))
         kind = f"key {src.schema['key'].dataType.simpleString()}, version {src.schema['version'].dataType.simpleString()}, field string, pos int, token string"
         one = src.mapInArrow(_suspects(bits, f), kind)

@@ -11,8 +11,8 @@ from lexspark.sources.tables import cut, table
 
 
 def _garbled(decision: DataFrame, fields: list[str]) -> DataFrame:
-    """(cd, field, last_fetched, score, fixes) of current texts that hold damage."""
-    spans = encoding.damaged_spans(decision, "cd", "last_fetched", fields).withColumnsRenamed({"key": "cd", "version": "last_fetched"})
+    """(cd, field, last_fetched, score, fixes) of current texts that hold damage; words are counted over bodies and headnotes, whichever fields are asked for."""
+    spans = encoding.damaged_spans(decision, "cd", "last_fetched", ["body", "summary"], fields).withColumnsRenamed({"key": "cd", "version": "last_fetched"})
     return keep_latest(spans, latest_versions(decision, "cd", "last_fetched"), "cd", "last_fetched").dropDuplicates(["cd", "field"])
 
 
@@ -58,7 +58,7 @@ def _now(found: DataFrame, spark: SparkSession, root: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     odd = _now(lookalike.irregular(_spelled(spark, root)), spark, root)
-    garbled = _garbled(table(spark, root, "decision").select("cd", "last_fetched", "body"), ["body"]).select(F.lit("decision.body").alias("field"), F.col("cd").alias("key"))
+    garbled = _garbled(table(spark, root, "decision"), ["body"]).select(F.lit("decision.body").alias("field"), F.col("cd").alias("key"))
     return odd.join(garbled, ["field", "key"], "left_anti").select("field", F.col("key").alias("record_key")).distinct()
 
 
@@ -68,7 +68,7 @@ def p3_forms(spark: SparkSession, root: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     decision = table(spark, root, "decision")
-    bad = _garbled(decision.select("cd", "last_fetched", "summary"), ["summary"]).select(F.col("cd").alias("key"))
+    bad = _garbled(decision, ["summary"]).select(F.col("cd").alias("key"))
     summary = neardup.records(decision, "cd", "summary", "decision.summary", "last_fetched")
     chunks = neardup.records(table(spark, root, "chunk"), "id", "content", "chunk.content")
     now = keep_latest(neardup.members(summary, 3), latest_versions(decision, "cd", "last_fetched").withColumnsRenamed({"cd": "key", "last_fetched": "version"}), "key", "version")

@@ -128,6 +128,17 @@ def test_lost_bytes(spark):
     assert [r["key"] for r in encoding.damaged_spans(df, "cd", "v", ["body"]).collect()] == ["x"]
 
 
+def test_damage_of_one_field_is_that_of_both(spark):
+    from lexspark.llm import queries
+
+    hurt = SENTENCES[1].replace("παραγραφεί", "παραγραφεί".encode("cp1253").decode("mac_greek"))
+    rows = [(f"k{i}", 1, t, SENTENCES[0]) for i, t in enumerate([" ".join(SENTENCES * 5)] * 100)] + [("x", 1, SENTENCES[2], hurt)]
+    df = spark.createDataFrame(rows, "cd string, last_fetched int, body string, summary string")
+    both = queries._garbled(df, ["body", "summary"]).select("cd", "field").collect()
+    assert [tuple(r) for r in both] == [("x", "summary")]
+    assert queries._garbled(df, ["summary"]).select("cd", "field").collect() == both and queries._garbled(df, ["body"]).count() == 0
+
+
 def test_no_rows_no_damage(spark):
     df = spark.createDataFrame([], "cd string, v int, body string")
     assert encoding.damaged_spans(df, "cd", "v", ["body"]).count() == 0
