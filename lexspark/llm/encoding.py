@@ -125,7 +125,9 @@ def readings(token: str) -> list[tuple[str, str, float, bool]]:
     odd = _ODD.search(token) is not None
     if odd or "Ξ" in token or "Ο" in token or "Β" in token:
         todo = [(token, "", 0.0, 0)]
-        for depth in range(3):
+        # every reading is followed once, again only with more evidence; readings get shorter, so this ends
+        seen: dict[str, float] = {}
+        while todo:
             new = []
             for text, way, ev, gone in todo:
                 for ch in _CHANNELS:
@@ -136,11 +138,10 @@ def readings(token: str) -> list[tuple[str, str, float, bool]]:
                     e = ev + 2.2 * made
                     if got not in out or out[got][1] < e:
                         out[got] = (name, e if not _ODD.search(got.replace(_LOST, "")) else e - 6, gone + lost == 0)
-                        if _ODD.search(got):
+                        if _ODD.search(got) and e > seen.get(got, -1.0):
+                            seen[got] = e
                             new.append((got, name, e, gone + lost))
-            todo = new[:6]
-            if not todo:
-                break
+            todo = new
     for name, table, greek in _SINGLE:
         if not odd and not greek:
             continue

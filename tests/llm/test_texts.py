@@ -144,6 +144,18 @@ def test_no_rows_no_damage(spark):
     assert encoding.damaged_spans(df, "cd", "v", ["body"]).count() == 0
 
 
+def test_every_reading_of_repeated_damage_is_followed():
+    def misread(t, read_as):
+        back = {b: c for c, b in encoding._bytes_of(read_as).items()}
+        return "".join(chr(b) if b < 128 else back[b] for b in t.encode())
+
+    for ways in (["cp1253", "cp1253", "mac_roman"], ["cp1253", "cp1252", "cp866"], ["cp1253", "latin_1", "cp866"], ["cp1252"] * 4):
+        token = "δικαστήριο"
+        for way in ways:
+            token = misread(token, way)
+        assert "δικαστήριο" in [text for _, text, _, _ in encoding.readings(token)]
+
+
 def test_viterbi_needs_more_than_one_weak_token():
     assert encoding.viterbi([3], [2.0], ["a"])[1] == [] and encoding.viterbi([3, 4, 5], [2.5, 2.5, 2.5], ["a"] * 3)[1] == [0, 1, 2]
 
