@@ -3,8 +3,8 @@
 Noisy-channel decoding. The channel: text was written in one encoding and read
 in another, perhaps several times, perhaps in places only, perhaps with bytes
 lost. Each distinct token of the corpus is turned back into the lattice of
-bytes it may have come from (one per way of misreading; a replacement
-character is a wildcard) and read again as it may have been meant. Candidates
+bytes it may have come from (one per way of misreading; a byte lost stays
+lost) and read again as it may have been meant. Candidates
 are weighed by the corpus frequency of the word they give against that of the
 token as it stands, and a Viterbi search over the tokens of a text decides
 which spans of it are damaged: entering a damaged span costs ``ENTER``, and
@@ -18,7 +18,7 @@ removed by the join that follows), so nothing broadcast grows with the data.
 Defined results: null, empty and blank texts are no case; a null key has no
 row; repeats of a row give one; an empty table gives an empty result; other
 columns are ignored. A text restored is complete if every damaged token of it
-has a reading without wildcards.
+has a reading without lost bytes.
 """
 
 from __future__ import annotations
