@@ -4,25 +4,37 @@ The corpus gives a vocabulary trie, kept as a table of known forms and a table
 of their proper prefixes: words; numbers by the word before them (digits as
 one class, so that "22588/3" is a prefix of what follows "αριθμό" and no form
 of its own); abbreviations, that is tokens with a full stop after which the
-sentence goes on; and whole lines. The last token of every text is left out of
-the counts. A text is cut if its end is no end of a sentence and no closing
-line, or if it only looks like one: its last token is an unknown proper prefix
-of known forms (which outweighs a closing line: if more words go on from it
-than texts end in it, or a tenth as many and the text has the length of a
-limit), or an abbreviation. The evidence says which, and whether the
-text has just the length (in characters or bytes) at which texts of its source
-pile up; length alone decides nothing, as complete texts may have any length. A text cut
-between words has no such prefix; it is found by its end alone.
+sentence goes on; and whole lines. A word node also tells how often the line
+went on after the word and how often it ended there. The last token of every
+text is left out of the counts. Every text is judged by the sum of its pieces
+of evidence (``EVIDENCE``):
+
+* ``broken``: the last token is an unknown proper prefix of known forms, and
+  more words go on from it than texts end in it (or a tenth as many, if the
+  text has the length of a limit);
+* ``at_limit``: the text has just the length (in characters or bytes) at which
+  texts of its source pile up;
+* ``goes_on``: the last token is a known form after which lines go on, or ends
+  in a mark after which more must come;
+* ``sign``: a sign of a cut (an ellipsis, an open bracket, a lost character);
+* ``closed`` and ``unclosed``: whether the end closes a sentence;
+* ``number`` and ``short``: a sentence end that only looks like one, by the
+  trie: a number that is an unknown prefix, an abbreviation;
+* ``closing``: a closing line.
+
+A text is cut if the sum is above 0. So length alone does not cut a sentence
+that is closed, an unknown prefix outweighs a closing line, and the end of a
+sentence is one piece among others; it decides alone only where the last token
+is unknown and no prefix, at no limit, and stands in no closing line.
 
 A closing line is a last line that stands as it is at the end of several
 different texts (the more texts there are, the more of them are asked for) and
 that hardly any other line continues, be it by a word or by a character; a
 place with a full date; or usual formulas, each whole and with at most a name
-after it, unless ten times as many lines go on from them as end there. A line that ends in an
-unknown proper prefix is not learnt.
-
-Forms of 64 characters or more are no words, so they have no prefixes here and
-no line that ends in one is learnt.
+after it, unless ten times as many lines go on from them as end there (they
+serve small collections; larger ones learn theirs). A line that ends in an
+unknown proper prefix is not learnt; lines of more than ``LINE_WORDS`` words
+are not learnt.
 
 Defined results: null, empty and blank texts are no case; repeats of a text
 are cases each; a null source is a source of its own; an empty table gives an
@@ -40,11 +52,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import flat, slices, strings
+from lexspark.llm.common import flat, rows_of, slices, strings
 from lexspark.sources.tables import cut
 
 _SPACE = " \t\r\n\u00a0\ufeff\u200b"
-_CLOSED = re.compile(r"(?:(?<!\.)[.]|[!?;\u037e。؟])[\"'»”’)\]]*$")
+_ENDS = "!?;\u037e。؟"
+_AFTER_END = "\"'»”’)]"
 _DATED = re.compile(r"^[^\W\d_][\w’' .-]{0,60}, \d{1,2}(?:ης|η|er|re|st|nd|rd|th|\.)? [^\W\d_]+\.? \d{4}$|^[^\W\d_][\w’' .-]{0,60}, \d{1,2}[./-]\d{1,2}[./-]\d{4}$")
 #: Usual closing formulas, whole lines in any case; others are learnt.
 FORMULAS = ["(υπογραφή)", "ακριβές αντίγραφο", "ο πρόεδρος", "η γραμματέας", "ο γραμματέας", "η γραμματέας της έδρας", "ο γραμματέας της έδρας", "θεωρήθηκε", "θεωρήθηκε αυθημερόν", "certified true copy", "the registrar", "(signature)", "(signed)", "beglaubigte abschrift", "der urkundsbeamte", "copie conforme", "le greffier", "(signé)", "(gez.)"]
@@ -55,9 +68,14 @@ _SIGN = re.compile(r"(?:…|\.\.\.|\[|\(|-|�|\[\s*…?\s*\]|>>|→)$")
 #: Texts a learnt line must end at least; one more for every tenfold of unclosed texts above a thousand.
 LEAST_TEXTS = 3
 LINE_WORDS = 6
+#: Rows up to which a counted table is broadcast; larger ones are joined by a shuffle with the same result.
+FEW = 50_000
 _DIGITS = re.compile(r"\d+")
-_NUMBER = re.compile(r"(?<!\S)(\S+)[ \u00a0]+(?=(\S*\d\S*))")
-_DOTTED = re.compile(r"(?<!\S)([^\W\d_]{1,12}\.)\s+(\S)")
+_DOTTED = re.compile(r"[^\W\d_]+\.")
+#: Marks after which more must come.
+_HANGING = ",·–—:«/&"
+#: The weight of each piece of evidence; a text is cut if the sum is above 0.
+EVIDENCE = {"broken": 6, "at_limit": 2, "goes_on": 2, "sign": 6, "unclosed": 1, "closed": -6, "number": 7, "short": 7, "closing": -5}
 _STRIP = ".,;:!?()[]«»\"'’”…·–-"
 
 
@@ -68,14 +86,15 @@ def _closed(t: str) -> bool:
         if len(t) - len(bare) < 3:
             break
         t = bare.rstrip(_SPACE)
-    return _CLOSED.search(t[-12:]) is not None
+    t = t.rstrip(_AFTER_END)
+    return t.endswith(tuple(_ENDS)) or t.endswith(".") and not t.endswith("..")
 
 
 def _formulas(low: str, line: str) -> bool:
     """Whether a line (and the same in small letters) is made of whole formulas, with names after them or not."""
     if low in FORMULAS:
         return True
-    if len(line) >= 120 or len(low) != len(line):
+    if len(low) != len(line):
         return False
     at = 0
     for m in [*_JOINT.finditer(low), None]:
@@ -95,39 +114,61 @@ def _shape(token: str) -> str:
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Known forms with counts: (kind, ctx, form, n, m); for abbreviations m counts where the sentence goes on."""
+    """Known forms with counts: (kind, ctx, form, n, m, e).
+
+    For words m counts where the line goes on after them and e where it ends
+    without a mark; for abbreviations m counts where the sentence goes on.
+    Texts are split once; all else looks at the distinct tokens of a slice.
+    """
     for part in slices(batches, "text"):
-        kinds, ctxs, forms, ns, ms = [], [], [], [], []
-        count: dict[tuple[str, str], int] = {}
-        dots: dict[str, list[int]] = {}
-        inner = []
-        for t in part.column("text").to_pylist():
-            t = t.rstrip(_SPACE)
-            k = max(t.rfind(" "), t.rfind("\n"))
-            t = t[:k] if k > 0 else ""
-            inner.append(t)
-            for p, x in _NUMBER.findall(t):
-                key = (p.lower(), _shape(x))
-                count[key] = count.get(key, 0) + 1
-            for w, c in _DOTTED.findall(t):
-                d = dots.setdefault(w.lower(), [0, 0])
-                d[0] += 1
-                d[1] += c.islower() or c.isdigit()
-        words, _ = flat(pc.split_pattern_regex(pa.array(inner, pa.string()), r"[^\pL]+"))
-        seen = words.value_counts()
-        for (p, x), n in count.items():
-            kinds.append("num"), ctxs.append(p), forms.append(x), ns.append(n), ms.append(0)
-        for w, (n, m) in dots.items():
-            kinds.append("dot"), ctxs.append(""), forms.append(w), ns.append(n), ms.append(m)
-        size = len(seen)
+        lines = pc.replace_substring(strings(part.column("text")), "\n", " \n ")
+        every, offsets = flat(pc.split_pattern_regex(lines, r"[ \t\r\x{a0}\x{feff}\x{200b}]+"))
+        filled = pc.greater(pc.binary_length(every), 0)
+        row = rows_of(offsets)[filled.to_numpy(zero_copy_only=False)]
+        coded = every.filter(filled).dictionary_encode()
+        codes, tokens = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        newline = tokens.index("\n") if "\n" in tokens else -1
+        real = codes != newline
+        breaks = np.cumsum(~real)[real]  # line breaks before each token
+        code, row = codes[real], row[real]
+        if not len(code):
+            continue
+        # the last token of every text is left out, so each one here has a next one
+        inner = np.flatnonzero(row[1:] == row[:-1])
+        ends_line = breaks[inner + 1] != breaks[inner]
+        size = len(tokens)
+        count = np.bincount(code[inner], minlength=size)
+        line_ends = np.bincount(code[inner][ends_line], minlength=size)
+        # words, from the distinct tokens
+        words, at = flat(pc.split_pattern_regex(coded.dictionary, r"[^\pL]+"))
+        token_of = rows_of(at)
+        word = words.dictionary_encode()
+        index = word.indices.to_numpy(zero_copy_only=False)
+        last = np.zeros(len(index), bool)
+        last[at[1:][np.diff(at) > 0] - 1] = True  # empty if the token ends in a mark
+        kinds = len(word.dictionary)
+        total = [np.bincount(index, weights=w, minlength=kinds).astype("i8") for w in (count[token_of], (count - line_ends)[token_of] * last, line_ends[token_of] * last)]
+        seen = np.flatnonzero(total[0])
+        rows: list[tuple] = []
+        # numbers by the token before them in the line
+        digit = np.fromiter((any(c.isdigit() for c in t) for t in tokens), bool, size)
+        follow = inner[1:][(np.diff(inner) == 1) & (breaks[inner[1:]] == breaks[inner[:-1]]) & digit[code[inner[1:]]]]
+        pairs, n = np.unique(np.stack([code[follow - 1], code[follow]]), axis=1, return_counts=True)
+        rows += [("num", tokens[a].lower(), _shape(tokens[b]), k, 0, 0) for a, b, k in zip(*pairs.tolist(), n.tolist())]
+        # abbreviations: what comes next begins with a small letter or a digit
+        dotted = np.fromiter((_DOTTED.fullmatch(t) is not None for t in tokens), bool, size)
+        small = np.fromiter((t[0].islower() or t[0].isdigit() for t in tokens), bool, size)
+        short = inner[dotted[code[inner]]]
+        on = np.bincount(code[short][small[code[short + 1]]], minlength=size)
+        rows += [("dot", "", tokens[k].lower(), int(count[k]), int(on[k]), 0) for k in np.flatnonzero(np.bincount(code[short], minlength=size)).tolist()]
+        kind, ctx, form, n, m, e = zip(*rows) if rows else [[]] * 6
         out = [
-            pa.concat_arrays([pa.array(kinds, pa.string()), pa.array(["word"] * size, pa.string())]),
-            pa.concat_arrays([pa.array(ctxs, pa.string()), pa.array([""] * size, pa.string())]),
-            pa.concat_arrays([pa.array(forms, pa.string()), strings(seen.field(0))]),
-            pa.concat_arrays([pa.array(ns, pa.int64()), seen.field(1).cast(pa.int64())]),
-            pa.concat_arrays([pa.array(ms, pa.int64()), pa.array(np.zeros(size, "i8"))]),
+            pa.concat_arrays([pa.array(kind, pa.string()), pa.array(["word"] * len(seen), pa.string())]),
+            pa.concat_arrays([pa.array(ctx, pa.string()), pa.array([""] * len(seen), pa.string())]),
+            pa.concat_arrays([pa.array(form, pa.string()), strings(word.dictionary.take(pa.array(seen)))]),
+            *(pa.concat_arrays([pa.array(x, pa.int64()), pa.array(y[seen])]) for x, y in zip((n, m, e), total)),
         ]
-        yield pa.RecordBatch.from_arrays(out, ["kind", "ctx", "form", "n", "m"])
+        yield pa.RecordBatch.from_arrays(out, ["kind", "ctx", "form", "n", "m", "e"])
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,27 +205,34 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = [pa.array(c, t) for c, t in zip(cols, types)]
         names = ["source", "closed", "closing", "line", "kind", "ctx", "form", "chars", "bytes", "whole"]
         sign = pa.array([_SIGN.search(x.rstrip(_SPACE)) is not None for x in part.column("text").take(arrays[0]).to_pylist()])
-        bare = pa.array([x.rstrip(_SPACE)[-1].isalnum() for x in part.column("text").take(arrays[0]).to_pylist()], pa.bool_())
-        yield pa.RecordBatch.from_arrays([part.column("id").take(arrays[0]), *arrays[1:], part.column("h").take(arrays[0]), sign, bare], ["id", *names, "h", "sign", "bare"])
+        final = [x.rstrip(_SPACE)[-1] for x in part.column("text").take(arrays[0]).to_pylist()]
+        bare, hangs = pa.array([c.isalnum() for c in final], pa.bool_()), pa.array([c in _HANGING for c in final], pa.bool_())
+        yield pa.RecordBatch.from_arrays([part.column("id").take(arrays[0]), *arrays[1:], part.column("h").take(arrays[0]), sign, bare, hangs], ["id", *names, "h", "sign", "bare", "hangs"])
 
 
 def _continued(src: DataFrame, lines: DataFrame) -> DataFrame:
     """(line, longer): for every line given, how many lines of the texts go on after it, within its last word or after it."""
     word = F.substring_index("line", " ", -1)
-    wanted = lines.select("line", F.expr("left(line, length(line) - length(substring_index(line, ' ', -1)))").alias("head"), word.alias("word")).filter(F.length("word") < 64)
+    wanted = lines.select("line", F.expr("left(line, length(line) - length(substring_index(line, ' ', -1)))").alias("head"), word.alias("word"))
+    heads = wanted.select("head").distinct()
+    heads = F.broadcast(heads) if lines.count() <= FEW else heads
     # words before the last one looked at, that word, lines with both, and those with more after them
     first = F.regexp_extract("l", rf"(?U)^\s*(\S+(?:\s+\S+){{0,{LINE_WORDS}}})", 1)
     parts = (
         src.select(F.explode(F.split("text", "\n")).alias("l"))
         .select(F.split(F.regexp_replace(first, r"\d+", "9"), r"(?U)\s+").alias("w"))
         .select("w", F.explode(F.sequence(F.lit(1), F.least(F.lit(LINE_WORDS), F.size("w")))).alias("k"))
-        .select(F.expr("concat_ws(' ', slice(w, 1, k - 1), if(k > 1, '', null))").alias("head"), F.expr("left(w[k - 1], 64)").alias("word"), (F.size("w") > F.col("k")).cast("long").alias("more"))
+        .select(F.expr("concat_ws(' ', slice(w, 1, k - 1), if(k > 1, '', null))").alias("head"), F.expr("w[k - 1]").alias("word"), (F.size("w") > F.col("k")).cast("long").alias("more"))
+        .join(heads, "head", "left_semi")
+        .filter("word <> ''")
         .groupBy("head", "word")
         .agg(F.count(F.lit(1)).alias("all"), F.sum("more").alias("more"))
     )
-    near = parts.join(wanted.select("head").distinct(), "head", "left_semi").filter("word <> ''")
+    # a word has no more prefixes than the longest one asked for
+    most = wanted.agg(F.coalesce(F.max(F.length("word")), F.lit(0)).alias("most"))
     longer = (
-        near.select("head", F.length("word").alias("size"), "all", "more", "word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("k"))
+        parts.crossJoin(F.broadcast(most))
+        .select("head", F.length("word").alias("size"), "all", "more", "word", F.explode(F.expr("sequence(1, greatest(1, least(length(word), most)))")).alias("k"))
         .select("head", F.expr("left(word, k)").alias("word"), F.when(F.col("k") < F.col("size"), F.col("all")).otherwise(F.col("more")).alias("n"))
         .groupBy("head", "word")
         .agg(F.sum("n").alias("longer"))
@@ -193,33 +241,38 @@ def _continued(src: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def truncated(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(key, source, cut, in_word, sign, at_limit) of every row with a nonblank text."""
+    """(key, source, cut, in_word, each piece of evidence, score) of every row with a nonblank text."""
     t = F.col(text)
     src = df.filter(t.isNotNull()).select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), t.alias("text"), F.xxhash64(t).alias("h"))
     kind = src.schema["id"].dataType.simpleString()
     ends = cut(
         src.mapInArrow(
             _ends,
-            f"id {kind}, source string, closed boolean, closing boolean, line string, kind string, ctx string, form string, chars long, bytes long, whole boolean, h long, sign boolean, bare boolean",
+            f"id {kind}, source string, closed boolean, closing boolean, line string, kind string, ctx string, form string, chars long, bytes long, whole boolean, h long, sign boolean, bare boolean, hangs boolean",
         )
     )
-    forms = src.select("text").mapInArrow(_forms, "kind string, ctx string, form string, n long, m long")
-    forms = cut(forms.groupBy("kind", "ctx", "form").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).filter("form <> ''"))
-    # the trie: prefixes of known forms, only where some text ends in such a form
-    finals = ends.filter("kind <> ''").groupBy("kind", "ctx", "form").agg(F.count_distinct("h").alias("ending"))
-    tails = forms.filter("kind <> 'dot'").select("kind", "ctx", "form", "n")
+    forms = src.select("text").mapInArrow(_forms, "kind string, ctx string, form string, n long, m long, e long")
+    forms = cut(forms.groupBy("kind", "ctx", "form").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("e").alias("e")).filter("form <> ''"))
+    # the trie: prefixes of known forms, only those at which some text ends
+    finals = cut(ends.filter("kind <> ''").groupBy("kind", "ctx", "form").agg(F.count_distinct("h").alias("ending")))
+    few = finals.count() <= FEW
+    nodes = finals.select("kind", "ctx", "form")
+    sizes = finals.groupBy("kind", "ctx").agg(F.array_sort(F.collect_set(F.length("form"))).alias("sizes"))  # few lengths
     prefixes = (
-        tails.filter(F.length("form") < 64)
-        .select("kind", "ctx", "n", F.explode(F.expr("transform(sequence(1, greatest(1, length(form) - 1)), k -> left(form, k))")).alias("prefix"), "form")
-        .filter("length(prefix) < length(form)")
-        .groupBy("kind", "ctx", F.col("prefix").alias("form"))
+        forms.filter("kind <> 'dot'")
+        .select("kind", "ctx", "form", "n")
+        .join(F.broadcast(sizes) if few else sizes, ["kind", "ctx"])
+        .select("kind", "ctx", "n", F.expr("explode(transform(filter(sizes, k -> k < length(form)), k -> left(form, k)))").alias("form"))
+        .join(F.broadcast(nodes) if few else nodes, ["kind", "ctx", "form"], "left_semi")
+        .groupBy("kind", "ctx", "form")
         .agg(F.sum("n").alias("longer"))
     )
-    known = finals.join(forms, ["kind", "ctx", "form"], "left").join(prefixes, ["kind", "ctx", "form"], "left").fillna(0, ["n", "m", "longer"])
+    known = finals.join(forms, ["kind", "ctx", "form"], "left").join(prefixes, ["kind", "ctx", "form"], "left").fillna(0, ["n", "m", "e", "longer"])
     # last lines that close: in several different texts, and hardly ever continued
     least = ends.agg(F.greatest(F.lit(LEAST_TEXTS), F.ceil(F.log10(F.greatest(F.count_if(~F.col("closed")), F.lit(1))))).alias("least"))
     lines = ends.filter("not closed and line is not null and not sign").groupBy("line").agg(F.count_distinct("h").alias("texts"))
     lines = lines.crossJoin(F.broadcast(least)).filter((F.col("texts") >= F.col("least")) | F.lower("line").isin(FORMULAS))
+    lines = cut(lines)
     counted = lines.join(_continued(src, lines), "line")
     learnt = counted.select("line", ((F.col("texts") >= F.col("least")) & (F.col("longer") * 10 < F.col("texts"))).alias("learnt"), (F.col("longer") > F.col("texts") * 10).alias("goes_on"))
     # where lengths of a source pile up: at least five texts and twenty times what an even spread would give
@@ -232,15 +285,28 @@ def truncated(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
     e = ends.join(known.withColumnRenamed("n", "known_n"), ["kind", "ctx", "form"], "left").join(learnt, "line", "left")
     e = e.join(c, e["source"].eqNullSafe(c["cs"]) & (F.col("chars") == F.col("cv")), "left")
     e = e.join(b, e["source"].eqNullSafe(b["bs"]) & (F.col("bytes") == F.col("bv")), "left")
-    e = e.fillna(0, ["known_n", "m", "longer", "ending"]).fillna(False, ["learnt", "goes_on", "at_c", "at_b"])
+    e = e.fillna(0, ["known_n", "m", "e", "longer", "ending"]).fillna(False, ["learnt", "goes_on", "at_c", "at_b"])
     in_word = F.col("kind").isin("word", "num") & (F.col("known_n") == 0) & (F.col("longer") > 0)
     at_limit = F.col("at_c") | F.col("at_b")
+    closed = F.col("closed")
     # the last word itself is left out of the counts, so a closing word may be unknown too: it ends more texts than there are words that go on
-    broken_off = in_word & F.col("bare") & ~F.col("whole") & ((F.col("longer") > F.col("ending")) | at_limit & (F.col("longer") * 10 > F.col("ending")))
-    goes_on = (F.col("kind") == "dot") & (F.col("known_n") >= 3) & (F.col("m") * 10 >= F.col("known_n") * 8)
-    closing = (F.col("closing") & ~F.col("goes_on") | F.col("learnt")) & ~broken_off & ~F.col("sign")
-    is_cut = F.when(F.col("closed"), F.when(F.col("kind") == "num", in_word).otherwise(goes_on)).otherwise(~closing)
-    return e.select(F.col("id").alias(key), "source", is_cut.alias("cut"), in_word.alias("in_word"), "sign", at_limit.alias("at_limit"))
+    broken = ~closed & in_word & F.col("bare") & ~F.col("whole") & ((F.col("longer") > F.col("ending")) | at_limit & (F.col("longer") * 10 > F.col("ending")))
+    evidence = {
+        "broken": broken,
+        "at_limit": at_limit,
+        "goes_on": ~closed & (F.col("hangs") | (F.col("kind") == "word") & F.col("bare") & (F.col("m") > F.col("e") * 4)),
+        "sign": ~closed & F.col("sign"),
+        "unclosed": ~closed,
+        "closed": closed,
+        "number": closed & (F.col("kind") == "num") & in_word,
+        "short": closed & (F.col("kind") == "dot") & (F.col("known_n") >= 3) & (F.col("m") * 10 >= F.col("known_n") * 8),
+        "closing": ~closed & (F.col("closing") & ~F.col("goes_on") | F.col("learnt")),
+    }
+    score = F.lit(0)
+    for name, there in evidence.items():
+        score = score + F.when(there, F.lit(EVIDENCE[name])).otherwise(F.lit(0))
+    judged = e.select(F.col("id").alias(key), "source", score.alias("score"), in_word.alias("in_word"), *[c.alias(f"has_{n}") for n, c in evidence.items()])
+    return judged.select(key, "source", (F.col("score") > 0).alias("cut"), "in_word", *[F.col(f"has_{n}").alias(n) for n in ("broken", "at_limit", "goes_on", "sign", "unclosed", "number", "short", "closing")], "score")
 
 
 def rates(found: DataFrame) -> DataFrame:

@@ -304,3 +304,22 @@ def test_intervals_count_records_once():
     assert codes[first].tolist() == [0, 1] and tf.tolist() == [3, 2] and df.tolist() == [2, 2]
     assert sorted(zip(tf2.tolist(), df2.tolist())) == [(1, 1), (2, 2)]
     assert isinstance(neardup.shingle_sets(pa.array(["α β γ δ"]), 3)[0], np.ndarray)
+
+
+def test_each_cut_text_carries_its_evidence(spark):
+    whole = corpus(60) + [t + "\nΘέση σφραγίδας" for t in corpus(8, 6)]
+    base = corpus(30, 5)
+    limit = [(t * 3)[:333] for t in base if not (t * 3)[:333].endswith(".")]
+    cut = [base[0] + " Ο εναγόμενος υποστ", base[1] + " Η σύμβαση λύθηκε με", base[2] + " Η σύμβαση λύθηκε (", base[3] + " Η σύμβαση λύθηκε,", base[4] + " Η Τζιτζιφιόγκα"]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(whole + limit + cut)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in truncation.truncated(df).collect()}
+    n, m = len(whole), len(limit)
+    assert not any(got[i]["cut"] for i in range(n)) and all(got[i]["cut"] and got[i]["at_limit"] for i in range(n, n + m))
+    names = [{e for e in ("broken", "goes_on", "sign", "closing") if got[i][e]} for i in range(n + m, n + m + 5)]
+    assert names == [{"broken"}, {"goes_on"}, {"sign"}, {"goes_on"}, set()] and all(got[i]["cut"] for i in range(n + m, n + m + 5))
+    assert [got[n + m + 4]["score"], got[n - 1]["score"]] == [truncation.EVIDENCE["unclosed"], truncation.EVIDENCE["unclosed"] + truncation.EVIDENCE["closing"]]
+
+
+@pytest.mark.parametrize("end, closed", [("x.", True), ("x..", False), ("x.»" + ")" * 40, True), ("x;", True), ("x,", False), ("x... ", False)])
+def test_ends_of_sentences(end, closed):
+    assert truncation._closed(end) == closed
