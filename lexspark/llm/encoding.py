@@ -2,27 +2,36 @@
 
 Noisy-channel decoding. The channel: text was written in one encoding and read
 in another, perhaps several times, perhaps in places only, perhaps with bytes
-lost. Each distinct token of the corpus is turned back into the lattice of
-bytes it may have come from (one per way of misreading; a byte lost stays
-lost) and read again as it may have been meant. Candidates
-are weighed by the corpus frequency of the word they give against that of the
-token as it stands, and a Viterbi search over the tokens of a text decides
-which spans of it are damaged: entering a damaged span costs ``ENTER``, and
-within one the way of misreading changes only at a cost.
+lost. Each distinct token of the corpus is turned back into a lattice of bytes
+for every way of misreading (``_Channel.lattice``): its edges are characters
+that stay, byte sequences that are one character of UTF-8, and wildcards for
+lost bytes, that is, all bytes the code page leaves undefined (all continuation
+bytes where it leaves none). The best path through the lattice is found by
+Viterbi search; the ways to fill its wildcards are weighed, like all readings,
+by the corpus frequency of the word they give against that of the token as it
+stands. A Viterbi search over the tokens of a text then decides which spans of
+it are damaged: entering a damaged span costs ``ENTER``, and within one the way
+of misreading changes only at a cost.
+
+A token with more than ``PATHS`` ways to fill its wildcards is matched against
+the words of its length instead, each lost character standing for any.
 
 Word frequencies are counted over the whole corpus and stay a distributed
 table. Tokens that have a better reading form a table of damaged tokens;
-texts meet it through a Bloom filter of fixed size (its false matches are
-removed by the join that follows), so nothing broadcast grows with the data.
+texts meet it through a Bloom filter sized by its count (its false matches are
+removed by the join that follows) or, beyond the largest filter, through all
+tokens that have any reading, so what is broadcast is bounded.
 
 Defined results: null, empty and blank texts are no case; a null key has no
 row; repeats of a row give one; an empty table gives an empty result; other
-columns are ignored. A text restored is complete if every damaged token of it
-has a reading without lost bytes.
+columns are ignored. A text restored is complete if no byte of it was lost;
+lost bytes are filled in where a known word fits, and stay U+FFFD elsewhere.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -46,6 +55,8 @@ ENTER = 5.0
 SWITCH = 4.0
 #: Clean tokens that may stand between two damaged ones of one span at no cost of entering again.
 GAP = 4
+#: Ways to fill the wildcards of one token that are spelled out.
+PATHS = 4096
 TOKEN = "[ \t\r\n]+"
 EDGE = ".,;:!?()[]{}'\"-"
 EDGE_ALL = EDGE + "«»–’·“”„…"
@@ -70,37 +81,99 @@ def _bytes_of(name: str) -> dict[str, int]:
     return out
 
 
+def _undefined(name: str) -> list[int]:
+    """The continuation bytes that a code page leaves undefined: read in it they are lost."""
+    out = []
+    for b in range(0x80, 0xC0):
+        try:
+            bytes([b]).decode(name)
+        except UnicodeDecodeError:
+            out.append(b)
+    return out
+
+
+#: What a misreading can leave behind: it may be damaged once more.
+_BETWEEN = {c for n in READ_AS for c in _bytes_of(n)}
+
+
 class _Channel:
     """UTF-8 read in a single-byte encoding."""
 
     def __init__(self, name: str):
         self.name = f"utf8>{name}"
         self.byte = _bytes_of(name)
-        sets = {k: "".join(re.escape(c) for c, b in self.byte.items() if lo <= b <= hi) for k, lo, hi in (("t", 0x80, 0xBF), ("two", 0xC2, 0xDF), ("three", 0xE2, 0xE2))}
-        self.any = re.compile(f"[{sets['two']}][{sets['t']}{_LOST}]|[{sets['three']}][{sets['t']}]{{2}}")
+        chars: dict[int, list[str]] = {}
+        for c, b in self.byte.items():
+            chars.setdefault(b, []).append(c)
+        span = lambda lo, hi: [c for b in range(lo, hi + 1) for c in chars.get(b, [])]
+        tail, cls = span(0x80, 0xBF), lambda cs: "".join(map(re.escape, cs))
+        self.any = re.compile(f"[{cls(span(0xC2, 0xDF))}][{cls(tail)}{_LOST}]|[{cls(span(0xE2, 0xE2))}][{cls(tail)}]{{2}}")
+        #: The character that two or three characters are, if it is one that texts hold or that may be damaged once more.
+        self.made: dict[str, str] = {}
+        for lead in span(0xC2, 0xDF):
+            self._add(lead, [(x,) for x in tail])
+        for lead in span(0xE2, 0xE2):
+            self._add(lead, itertools.product(tail, tail))
+        lost = _undefined(name) or list(range(0x80, 0xC0))
+        own = {b: tuple(c for c in (bytes([b, x]).decode() for x in lost) if c in _GREEK) for b in (0xCE, 0xCF)}
+        #: What a character of Greek whose second byte is lost may be, by the character read for the first.
+        self.wild = {} if _LOST in self.byte else {c: own[b] for c, b in self.byte.items() if b in own}
+
+    def _add(self, lead: str, rest) -> None:
+        for r in rest:
+            try:
+                c = bytes(self.byte[x] for x in (lead, *r)).decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            if c in _MEANT or c in _BETWEEN:
+                self.made[lead + "".join(r)] = c
+
+    def lattice(self, token: str) -> list[list[tuple[int, str | tuple[str, ...]]]]:
+        """The edges that leave each character: where they lead and the character made, or those a wildcard stands for."""
+        made, wild = self.made, self.wild
+        out: list[list[tuple[int, str | tuple[str, ...]]]] = []
+        for i, c in enumerate(token):
+            edges: list[tuple[int, str | tuple[str, ...]]] = [(i + len(x), made[x]) for x in {token[i : i + 2], token[i : i + 3]} if x in made]
+            if c in wild and token[i + 1 : i + 2] == _LOST:
+                edges.append((i + 2, wild[c]))
+            out.append(edges)
+        return out
+
+    def path(self, token: str) -> tuple[list[str | tuple[str, ...]], int]:
+        """The path with the most characters made (Viterbi, from the end), and how many those are; wildcards stay tuples."""
+        if self.any.search(token) is None:
+            return list(token), 0
+        edges, size = self.lattice(token), len(token)
+        score, step = [0] * (size + 1), [None] * size
+        for i in range(size - 1, -1, -1):
+            best, to, c = score[i + 1], i + 1, token[i]
+            for j, x in edges[i]:
+                if score[j] + 1 > best:
+                    best, to, c = score[j] + 1, j, x
+            score[i], step[i] = best, (to, c)
+        out, i = [], 0
+        while i < size:
+            i, c = step[i]
+            out.append(c)
+        return out, score[0]
 
     def read(self, token: str) -> tuple[str, int, int]:
         """The token read anew, how many characters that made, and how many of them are lost."""
-        made = lost = 0
-
-        def one(m: re.Match) -> str:
-            nonlocal made, lost
-            s = m.group()
-            if s[-1] == _LOST and _LOST not in self.byte:
-                if self.byte[s[0]] in (0xCE, 0xCF):
-                    made, lost = made + 1, lost + 1
-                    return _LOST
-                return s
-            try:
-                c = bytes(self.byte[x] for x in s).decode("utf-8")
-            except UnicodeDecodeError:
-                return s
-            if c not in _MEANT and c not in _BETWEEN:
-                return s
-            made += 1
-            return c
+        if self.any.search(token) is None:
+            return token, 0, 0
+        if _LOST not in token:
+            # leads and continuations are different bytes, so edges never overlap: the best path takes them all
+            made = 0
+
+            def one(m: re.Match) -> str:
+                nonlocal made
+                c = self.made.get(m.group())
+                made += c is not None
+                return m.group() if c is None else c
 
-        return self.any.sub(one, token), made, lost
+            return self.any.sub(one, token), made, 0
+        got, made = self.path(token)
+        return "".join(_LOST if isinstance(c, tuple) else c for c in got), made, sum(isinstance(c, tuple) for c in got)
 
 
 def _table(read_as: str, written: str) -> dict[int, str]:
@@ -109,9 +182,9 @@ def _table(read_as: str, written: str) -> dict[int, str]:
 
 
 _CHANNELS = [_Channel(n) for n in READ_AS]
-#: What a misreading can leave behind: it may be damaged once more.
-_BETWEEN = {c for ch in _CHANNELS for c in ch.byte}
 _SINGLE = [(f"{w}>{r}", str.maketrans({chr(k): v for k, v in _table(r, w).items()}), r in ("cp1253", "iso8859_7", "mac_greek")) for w, rs in WRITTEN.items() for r in rs]
+#: Two characters of UTF-8 are four bytes at least.
+_PAIRS = re.compile(r"[^\x00-\x7f]{2}.*[^\x00-\x7f]{2}")
 _HAS_GREEK = re.compile(f"[{_GREEK}]")
 
 
@@ -136,7 +209,7 @@ def readings(token: str) -> list[tuple[str, str, float, bool]]:
                         continue
                     name = f"{way}+{ch.name}" if way else ch.name
                     e = ev + 2.2 * made
-                    if got not in out or out[got][1] < e:
+                    if got not in out or out[got][1] + 1e-6 < e:  # the shortest way of equal ones
                         out[got] = (name, e if not _ODD.search(got.replace(_LOST, "")) else e - 6, gone + lost == 0)
                         if _ODD.search(got) and e > seen.get(got, -1.0):
                             seen[got] = e
@@ -161,11 +234,51 @@ def readings(token: str) -> list[tuple[str, str, float, bool]]:
         if strange >= 3 and strange == len(letters):
             ev += 1.2 * strange
         out[got] = (name, ev, True)
+    if odd and not any(ev > 0 and not _ODD.search(got) for got, (_, ev, _) in out.items()):
+        _mixed_chains(token, out)
     if _LOST in token:
         out.setdefault(token, ("lost", 3.0 * token.count(_LOST), False))
     return [(way, got, ev, ok and _LOST not in got) for got, (way, ev, ok) in out.items()]
 
 
+def _mixed_chains(token: str, out: dict[str, tuple[str, float, bool]]) -> None:
+    """Readings by one single-byte misreading and one of UTF-8, in either order; only clean words with two characters made or more."""
+    if _PAIRS.search(token) is None:
+        return
+    steps = []
+    for name, table, _ in _SINGLE:
+        got = token.translate(table)
+        if got != token:
+            steps += [(f"{name}+{ch.name}", ch.read(got)) for ch in _CHANNELS if ch.any.search(got)]
+    for ch in _CHANNELS:
+        got, made, lost = ch.read(token)
+        if made > 1:
+            steps += [(f"{ch.name}+{name}", (got.translate(table), made, lost)) for name, table, _ in _SINGLE]
+    for way, (got, made, lost) in steps:
+        if made > 1 and got not in out and _WORD.fullmatch(got) and lost == 0:
+            out[got] = (way, 2.2 * made, True)
+
+
+def fillings(way: str, token: str) -> list[str] | None:
+    """The texts a token may have been, its lost bytes filled in all ways; null if they are more than PATHS."""
+    *before, last = way.split("+")
+    for step in before:
+        token = reread(step, token)
+    if last == "lost":
+        kept = sum(c.isalpha() for c in token)
+        if token.count(_LOST) > kept:
+            return []  # too little is left of it
+        parts: list[str | tuple[str, ...]] = [tuple(_GREEK) if c == _LOST else c for c in token]
+    else:
+        parts = _BY_NAME[last].path(token)[0]
+    if any(c == _LOST for c in parts):
+        return []
+    wild = [c for c in parts if isinstance(c, tuple)]
+    if math.prod(map(len, wild)) > PATHS:
+        return None
+    return ["".join(p) for p in itertools.product(*(c if isinstance(c, tuple) else (c,) for c in parts))]
+
+
 def tokens(df: DataFrame, fields: list[str]) -> DataFrame:
     """(token, n): occurrences of every distinct token of the fields, edge punctuation off."""
 
@@ -188,18 +301,25 @@ def _core(arr: pa.Array) -> pa.Array:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every reading of every token; ``guess`` marks those whose lost bytes are filled in, and patterns to be matched."""
     for batch in batches:
-        cols: list[list] = [[], [], [], [], [], []]
+        rows: list[tuple] = []
         for token, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if token.isascii():
                 continue
             for way, got, ev, ok in readings(token):
-                for c, v in zip(cols, (token, n, way, got, ev, ok)):
-                    c.append(v)
-        meant = pa.array(cols[3], pa.string())
+                rows.append((token, n, way, got, ev, ok, False, False))
+                if _LOST in got:
+                    full = fillings(way, token)
+                    if full is None:
+                        rows.append((token, n, way, got, ev, False, True, True))
+                    else:
+                        rows += [(token, n, way, x, ev, False, True, False) for x in full]
+        token, n, way, meant, ev, ok, guess, pattern = zip(*rows) if rows else [[]] * 8
+        meant = pa.array(meant, pa.string())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), meant, strings(_core(meant)), pa.array(cols[4], pa.float64()), pa.array(cols[5], pa.bool_())],
-            ["token", "n", "way", "meant", "word", "evidence", "complete"],
+            [pa.array(token, pa.string()), pa.array(n, pa.int64()), pa.array(way, pa.string()), meant, strings(_core(meant)), pa.array(ev, pa.float64()), pa.array(ok, pa.bool_()), pa.array(guess, pa.bool_()), pa.array(pattern, pa.bool_())],
+            ["token", "n", "way", "meant", "word", "evidence", "complete", "guess", "pattern"],
         )
 
 
@@ -211,8 +331,15 @@ def damaged_tokens(vocabulary: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([strings(_core(b.column(0))), b.column(1)], ["word", "n"])
 
     words = vocabulary.mapInArrow(strip, "word string, n long").groupBy("word").agg(F.sum("n").alias("known"))
-    cand = vocabulary.mapInArrow(_candidates, "token string, n long, way string, meant string, word string, evidence double, complete boolean")
-    scored = cand.join(words, "word", "left")
+    cand = cut(vocabulary.mapInArrow(_candidates, "token string, n long, way string, meant string, word string, evidence double, complete boolean, guess boolean, pattern boolean"))
+    scored = cand.filter("not pattern").join(words, "word", "left").filter("known is not null or not guess").drop("guess", "pattern")
+    open_ = cand.filter("pattern").withColumn("size", F.length("word"))
+    if not open_.isEmpty():
+        # words of the same length that the pattern fits; a lost character stands for any
+        shaped = open_.withColumnRenamed("word", "like_").withColumn("shape", F.translate("like_", _LOST + "%_\\", "_"))
+        fits = shaped.join(words.withColumn("size", F.length("word")), "size").filter(F.expr("word like shape") & ~F.contains("word", F.lit(_LOST)))
+        fits = fits.withColumn("meant", F.replace("meant", F.col("like_"), F.col("word")))
+        scored = scored.unionByName(fits.select(*scored.columns))
     known = F.coalesce(F.col("known"), F.lit(0))
     size = F.length("word")
     # a short word meets another one by chance: its frequency says less
@@ -228,13 +355,15 @@ def _suspects(filter_words, field: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        bits = filter_words.value
+        bits = filter_words.value if filter_words is not None else None
         for part in slices(batches, "text"):
             words, offsets = flat(pc.split_pattern_regex(strings(part.column("text")), TOKEN))
             coded = pc.utf8_trim(words, EDGE).dictionary_encode()
             own = coded.dictionary.to_pylist()
-            h = np.fromiter((xxhash.xxh64_intdigest(w, seed=42) for w in own), "u8", len(own))
-            hit = in_bloom(bits, h)
+            if bits is None:
+                hit = np.fromiter((not w.isascii() and bool(readings(w)) for w in own), bool, len(own))
+            else:
+                hit = in_bloom(bits, np.fromiter((xxhash.xxh64_intdigest(w, seed=42) for w in own), "u8", len(own)))
             codes = coded.indices.to_numpy(zero_copy_only=False)
             at = np.flatnonzero(hit[codes]) if len(codes) else np.zeros(0, "i8")
             row = rows_of(offsets)[at]
@@ -266,8 +395,9 @@ def viterbi(pos: list[int], gain: list[float], way: list[str]) -> tuple[float, l
             clean = max([clean, *states.values()], key=lambda x: x[0])
         states = {v: x for v, x in states.items() if v != w}
         states[w] = (best[0] + g, (i, best[1]))
-        if len(states) > 8:
-            states = dict(sorted(states.items(), key=lambda kv: -kv[1][0])[:8])
+        # a state that the best one reaches by a change of way at no loss is never needed again
+        least = max(s for s, _ in states.values()) - SWITCH
+        states = {v: x for v, x in states.items() if x[0] > least or v == w}
         last = p
     score, link = max([clean, *states.values()], key=lambda x: x[0])
     out = []
@@ -285,8 +415,8 @@ def damaged_spans(df: DataFrame, key: str, version: str, fields: list[str], want
     """
     vocabulary = cut(tokens(df, fields))
     bad = cut(damaged_tokens(vocabulary))
-    spark = df.sparkSession
-    bits = spark.sparkContext.broadcast(bloom(bad, F.xxhash64("token")))
+    own = bloom(bad, F.xxhash64("token"))
+    bits = None if own is None else df.sparkSession.sparkContext.broadcast(own)
     found = None
     for f in wanted or fields:
         src = df.filter(F.col(f).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(version).alias("version"), F.col(f).alias("text"))
@@ -298,16 +428,23 @@ def damaged_spans(df: DataFrame, key: str, version: str, fields: list[str], want
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, scores, fixes = [], [], []
-            for r, own in enumerate(batch.column("hits").to_pylist()):
-                s, at = viterbi([h["pos"] for h in own], [h["gain"] for h in own], [h["way"] for h in own])
+            own, ends = flat(batch.column("hits"))
+            pos, gain = own.field("pos").to_pylist(), own.field("gain").to_pylist()
+            coded = own.field("way").dictionary_encode()
+            names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+            way = [names[c] for c in codes.tolist()]
+            keep, scores, taken, sizes = [], [], [], [0]
+            for r, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                s, at = viterbi(pos[a:b], gain[a:b], way[a:b])
                 if s > 0 and at:
                     keep.append(r)
                     scores.append(s)
-                    fixes.append([{k: own[i][k] for k in ("pos", "token", "meant", "complete", "way")} for i in at])
-            t = pa.array(keep, pa.int64())
-            kind = pa.list_(pa.struct([("pos", pa.int32()), ("token", pa.string()), ("meant", pa.string()), ("complete", pa.bool_()), ("way", pa.string())]))
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(t) for c in ("key", "version", "field")] + [pa.array(scores, pa.float64()), pa.array(fixes, kind)], ["key", "version", "field", "score", "fixes"])
+                    taken += [a + i for i in at]
+                    sizes.append(len(taken))
+            t, chosen = pa.array(keep, pa.int64()), own.take(pa.array(taken, pa.int64()))
+            names = ["pos", "token", "meant", "complete", "way"]
+            fixes = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays([chosen.field(c) for c in names], names))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(t) for c in ("key", "version", "field")] + [pa.array(scores, pa.float64()), fixes], ["key", "version", "field", "score", "fixes"])
 
     s = per.schema
     return per.mapInArrow(run, f"key {s['key'].dataType.simpleString()}, version {s['version'].dataType.simpleString()}, field string, score double, fixes array<struct<pos:int,token:string,meant:string,complete:boolean,way:string>>")

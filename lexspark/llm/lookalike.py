@@ -7,17 +7,23 @@ the Greek one. Words are then grouped by the mapped value under the Unicode
 collation of SQL (sensitive to accents and case), so that each group is one
 appearance; its canonical member is the one without irregular characters that
 the corpus uses most (the least word among equals), and it is joined back to
-every word of the group. A text in canonical form has each word replaced by its
-canonical member, and blanks and signs by the ordinary ones.
-
-A text is irregular if a word of it is not its canonical member, or if a sign
-or blank of it is not the ordinary one. Words wholly in another script are
-irregular only if the corpus has the same appearance in Greek more often: so
-"Договор" or "software" stay, and a Latin "KAI" does not.
+every word of the group. Signs, blanks and digits outside words are mapped and
+grouped in the same way, as words of one character. A text in canonical form
+has each word replaced by its canonical member, and blanks and signs by the
+ordinary ones.
+
+A text is irregular if a word, sign, blank or digit of it is not its canonical
+member. A scan over whole columns first leaves out texts and words that cannot
+be irregular: those without a character that may be, without two scripts side
+by side, and without a word wholly in letters that look Greek. Words wholly in
+another script are irregular only if the corpus has the same appearance in
+Greek more often: so "Договор" or "software" stay, and a Latin "KAI" does not.
 
 Defined results: null texts are no case and have no form; empty and blank texts
 are no case; a null key has no row; repeats of a row give one; an empty table
-gives an empty result; other columns are ignored; differences of case are kept.
+gives an empty result; other columns are ignored; differences of case are kept;
+combining marks that belong to a letter of another script (as in Devanagari)
+stay, one that stands without a letter does not.
 """
 
 from __future__ import annotations
@@ -126,6 +132,8 @@ def latin_look(word: str) -> str | None:
 
 def mapped(word: str) -> tuple[str, bool]:
     """(what the word looks like, whether it is irregular in itself: by its characters or by mixing scripts)."""
+    if len(word) == 1 and unicodedata.category(word)[0] == "M":
+        return "", True  # a mark without a letter
     p = plain(word)
     bad = p != word
     own = scripts(p)
@@ -180,60 +188,82 @@ _MAYBE = (
     r"[^\x00-\x7f\x{384}-\x{386}\x{388}-\x{3ce}«»–’·\p{Latin}\p{Cyrillic}]|[\x{ff00}-\x{ffef}\x{fb00}-\x{fb06}\x{2100}-\x{214f}]"
     r"|\p{Greek}[\p{Latin}\p{Cyrillic}]|[\p{Latin}\p{Cyrillic}]\p{Greek}|\p{Latin}\p{Cyrillic}|\p{Cyrillic}\p{Latin}"
 )
+_FOREIGN_OR_MAYBE = _MAYBE + r"|[\p{Latin}\p{Cyrillic}]"
 NOT_FOREIGN = r"[^\p{Latin}\p{Cyrillic}]+"
 _MIXED = regex.compile(r"\p{Greek}[\p{Latin}\p{Cyrillic}]|[\p{Latin}\p{Cyrillic}]\p{Greek}|\p{Latin}\p{Cyrillic}|\p{Cyrillic}\p{Latin}")
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with an irregular character outside or inside words, or a word that may only look Greek: (field, key, version, word).
+def suspects(text: str) -> set[str]:
+    """The distinct words, and the signs, blanks and digits outside words, that may be irregular."""
+    found = {w for w in WORD.findall(text) if IRREGULAR.search(w) or _MIXED.search(w)}
+    return found.union(IRREGULAR.findall(WORD.sub(" ", text)))
+
 
-    An empty word says that the text is irregular by its characters alone.
-    """
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(field, key, version, word): what every text holds that may be irregular, and its words that may only look Greek."""
     for part in slices(batches, "text"):
         text = strings(part.column("text"))
         maybe = np.flatnonzero(pc.match_substring_regex(text, _MAYBE).to_numpy(zero_copy_only=False))
-        sure = [i for i, t in zip(maybe.tolist(), text.take(pa.array(maybe)).to_pylist()) if IRREGULAR.search(t) or _MIXED.search(t)]
+        at, found = [], []
+        for i, t in zip(maybe.tolist(), text.take(pa.array(maybe)).to_pylist()):
+            own = suspects(t)
+            at += [i] * len(own)
+            found += own
         own, offsets = flat(pc.split_pattern_regex(text, NOT_FOREIGN))
         coded = own.dictionary_encode()
         looks = np.array([w != "" and greek_look(w) is not None for w in coded.dictionary.to_pylist()], bool)
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        at = np.flatnonzero(looks[codes]) if len(codes) else np.zeros(0, "i8")
-        rows = np.concatenate([np.array(sure, "i8"), rows_of(offsets)[at]])
-        words = pa.concat_arrays([pa.array([""] * len(sure), pa.string()), strings(coded.dictionary.take(pa.array(codes[at])))])
+        foreign = np.flatnonzero(looks[codes]) if len(codes) else np.zeros(0, "i8")
+        rows = np.concatenate([np.array(at, "i8"), rows_of(offsets)[foreign]])
+        words = pa.concat_arrays([pa.array(found, pa.string()), strings(coded.dictionary.take(pa.array(codes[foreign])))])
         yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(rows)) for c in ("field", "key", "version")] + [words], ["field", "key", "version", "word"])
 
 
 def irregular(recs: DataFrame) -> DataFrame:
-    """(field, key, version) of the records (field, key, version, text) that hold something irregular."""
-    forms = canonical_forms(cut(words(recs, ["text"])))
+    """(field, key, version) of the records (field, key, version, text) that hold a word or sign that is not its canonical member."""
     t = recs.filter("text is not null and key is not null").select("field", "key", "version", "text")
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.schema if f.name != "text")
     hits = cut(t.mapInArrow(_marks, f"{kind}, word string"))
-    sure = hits.filter("word = ''").drop("word")
-    asked = hits.filter("word <> ''").join(forms.select("word"), "word", "left_semi").drop("word")
-    return sure.unionByName(asked).distinct()
+    # signs stand in no vocabulary of words
+    asked = hits.select("word", F.lit(0).cast("long").alias("n")).distinct()
+    forms = canonical_forms(cut(words(recs, ["text"]).unionByName(asked).groupBy("word").agg(F.sum("n").alias("n"))))
+    return hits.join(forms.select("word"), "word", "left_semi").drop("word").distinct()
+
+
+#: Words that are not canonical up to which they are broadcast (a few MB); more are joined to the texts that hold them.
+MOST_FORMS = 100_000
+
+
+def _rewritten(text: str, by: dict[str, str]) -> str:
+    return plain(WORD.sub(lambda m: by.get(m.group(), m.group()), text) if by else text)
 
 
 def normalised(recs: DataFrame) -> DataFrame:
-    """(field, key, version, text): every record with its text in the one form."""
-    forms = cut(canonical_forms(cut(words(recs, ["text"]))))
+    """(field, key, version, text): every record with its text in the one form; texts are read where they are."""
+    # a plain Greek word stays, even if its look stands in Latin more often
+    forms = cut(canonical_forms(cut(words(recs, ["text"]))).filter(~F.col("word").rlike("^[Ά-ώ]+$")))
     t = recs.filter("text is not null and key is not null").select("field", "key", "version", "text")
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.schema if f.name != "text")
-    hits = t.mapInArrow(_other_words, f"{kind}, word string")
-    fixes = hits.join(forms, "word").groupBy("field", "key", "version").agg(F.collect_set(F.struct("word", "form")).alias("fixes"))
-    f = fixes.select(F.col("field").alias("f"), F.col("key").alias("k"), F.col("version").alias("v"), "fixes")
-    both = t.join(f, (F.col("field") == F.col("f")) & F.col("key").eqNullSafe(F.col("k")) & F.col("version").eqNullSafe(F.col("v")), "left").select("field", "key", "version", "text", "fixes")
+    few = forms.limit(MOST_FORMS + 1).count() <= MOST_FORMS
+    if few:
+        every = t.sparkSession.sparkContext.broadcast({r["word"]: r["form"] for r in forms.select("word", "form").collect()})
+    else:
+        hits = t.mapInArrow(_other_words, f"{kind}, word string")
+        fixes = hits.join(forms, "word").groupBy("field", "key", "version").agg(F.collect_set(F.struct("word", "form")).alias("fixes"))
+        f = fixes.select(F.col("field").alias("f"), F.col("key").alias("k"), F.col("version").alias("v"), "fixes")
+        t = t.join(f, (F.col("field") == F.col("f")) & F.col("key").eqNullSafe(F.col("k")) & F.col("version").eqNullSafe(F.col("v")), "left").select("field", "key", "version", "text", "fixes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for text, fix in zip(b.column("text").to_pylist(), b.column("fixes").to_pylist()):
-                by = {x["word"]: x["form"] for x in fix or []}
-                text = WORD.sub(lambda m: by.get(m.group(), m.group()), text) if by else text
-                out.append(plain(text))
+        for b in slices(batches, "text"):
+            text = strings(b.column("text"))
+            if few:
+                plain_text = pc.invert(pc.match_substring_regex(text, _FOREIGN_OR_MAYBE)).to_pylist()
+                out = [x if p else _rewritten(x, every.value) for x, p in zip(text.to_pylist(), plain_text)]
+            else:
+                out = [_rewritten(x, {y["word"]: y["form"] for y in fix or []}) for x, fix in zip(text.to_pylist(), b.column("fixes").to_pylist())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("field", "key", "version")), pa.array(out, pa.string())], ["field", "key", "version", "text"])
 
-    return both.mapInArrow(run, f"{kind}, text string")
+    return t.mapInArrow(run, f"{kind}, text string")
 
 
 def _other_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -323,3 +323,153 @@ def test_each_cut_text_carries_its_evidence(spark):
 @pytest.mark.parametrize("end, closed", [("x.", True), ("x..", False), ("x.»" + ")" * 40, True), ("x;", True), ("x,", False), ("x... ", False)])
 def test_ends_of_sentences(end, closed):
     assert truncation._closed(end) == closed
+
+
+# ---- groups of near duplicates
+
+
+def test_groups_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rng = random.Random(8)
+    words = [f"λέξη{i}" for i in range(300)]
+    texts = []
+    for _ in range(25):
+        w = [rng.choice(words) for _ in range(50)]
+        for _ in range(rng.randrange(1, 5)):  # chains: each a small edit of the one before
+            w = list(w)
+            w[rng.randrange(50)] = rng.choice(words)
+            texts.append(" ".join(w))
+    texts += [texts[3]] * 60 + ["μία δύο", "", None]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id int, content string, root string")
+    recs = neardup.records(df, "id", "content", "f")
+    members = neardup.members(recs, 3)
+    got = {r["key"]: (r["group_key"], r["n_links"]) for r in neardup.groups(recs, members, 3, 0.6).collect()}
+    keep = [(str(i), t) for i, t in enumerate(texts) if t and len(t.split()) >= 3]
+    links = {a: {b for b, t in keep if b != a and jaccard(s, t) >= 0.6} for a, s in keep}
+    root = {}
+    for a, _ in keep:
+        seen, todo = {a}, [a]
+        while todo:
+            new = links[todo.pop()] - seen
+            seen |= new
+            todo += new
+        root[a] = min(seen)
+    assert got == {a: (root[a], len(b)) for a, b in links.items() if b}
+    # the pairs of keys go through the same blocks
+    pairs = {(r["key_a"], r["key_b"]) for r in neardup.key_pairs(recs, members, 3, 0.6).collect()}
+    assert pairs == {(a, b) for a, own in links.items() for b in own if a < b}
+    assert neardup.groups(recs.limit(0), members.limit(0), 3, 0.6).count() == 0
+
+
+def test_components_of_a_long_chain(spark):
+    n = 200
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (5, 5)], "a int, b int")
+    got = {r["node"]: r["root"] for r in neardup.components(edges).collect()}
+    assert got == {i: 0 for i in range(n + 1)} | {1000: 1000, 1001: 1000}
+
+
+def test_bloom_by_count(spark):
+    import numpy as np
+
+    from lexspark.llm import common
+
+    df = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    bits = common.bloom(df, F.col("h"))
+    own = np.array([r["h"] for r in df.collect()], "i8").view("u8")
+    other = np.array([r["h"] for r in spark.range(10_000, 30_000).select(F.xxhash64("id").alias("h")).collect()], "i8").view("u8")
+    assert common.in_bloom(bits, own).all() and common.in_bloom(bits, other).mean() < 0.03
+
+
+def test_beyond_the_largest_filter_nothing_changes(spark, monkeypatch):
+    from lexspark.llm import common
+
+    texts = corpus(40)
+    hurt = texts[0].encode("utf-8").decode("cp1252", "replace")
+    df = spark.createDataFrame([(f"k{i}", 1, t) for i, t in enumerate(texts)] + [("x", 1, hurt)], "cd string, v int, body string")
+    recs = neardup.records(df, "cd", "body", "f")
+    pairs = lambda: {tuple(r)[:3] for r in neardup.key_pairs(recs, neardup.members(recs, 3), 3, 0.6).collect()}
+    spans = lambda: [r["key"] for r in encoding.damaged_spans(df, "cd", "v", ["body"]).collect()]
+    want = pairs(), spans()
+    monkeypatch.setattr(common, "MOST_BITS", 1)
+    assert (pairs(), spans()) == want and want[1] == ["x"]
+
+
+# ---- lost bytes
+
+
+def misread(text, read_as):
+    return text.encode("utf-8").decode(read_as, "replace")
+
+
+def test_lost_bytes_are_filled_in_by_known_words(spark):
+    texts = corpus(60)
+    rows = [(f"k{i}", 1, t) for i, t in enumerate(texts)] + [("x", 1, misread(texts[0], "cp1253")), ("y", 1, "Η " + misread("αβάσιμος", "cp1253") + " " + texts[1])]
+    df = spark.createDataFrame(rows, "cd string, v int, body string")
+    spans = encoding.damaged_spans(df, "cd", "v", ["body"])
+    back = {r["key"]: r for r in encoding.restored(df, spans, "cd", "v").collect()}
+    assert "�" in misread(texts[0], "cp1253") and back["x"]["text"] == texts[0] and not back["x"]["complete"]
+
+
+def test_fillings(monkeypatch):
+    token = misread("πρώτος", "cp1253")
+    assert "πρώτος" in encoding.fillings("utf8>cp1253", token) and "δικαστήριο" in encoding.fillings("lost", "δικαστ�ριο")
+    assert encoding.fillings("lost", "��α") == []
+    monkeypatch.setattr(encoding, "PATHS", 3)
+    assert encoding.fillings("utf8>cp1253", token) is None
+
+
+def test_patterns_with_too_many_fillings_meet_the_words(spark, monkeypatch):
+    texts = corpus(60)
+    df = spark.createDataFrame([(f"k{i}", 1, t) for i, t in enumerate(texts)] + [("x", 1, misread(texts[0], "cp1253"))], "cd string, v int, body string")
+    run = lambda: {(r["token"], r["meant"]) for r in encoding.damaged_tokens(encoding.tokens(df, ["body"])).collect()}
+    want = run()
+    monkeypatch.setattr(encoding, "_candidates", _few_paths(encoding._candidates))
+    assert run() == want
+
+
+def _few_paths(candidates):
+    def run(batches):
+        encoding.PATHS = 1
+        yield from candidates(batches)
+
+    return run
+
+
+def test_the_lattice_and_its_best_path():
+    ch = encoding._BY_NAME["utf8>cp1253"]
+    token = misread("ρα", "cp1253")
+    edges = ch.lattice(token)
+    assert [j for j, _ in edges[0]] == [2] and "ρ" in edges[0][0][1] and edges[2] == [(4, "α")] and edges[1] == edges[3] == []
+    path, made = ch.path(token)
+    assert made == 2 and isinstance(path[0], tuple) and path[1] == "α"
+
+
+def test_chains_of_two_kinds():
+    back = {b: c for c, b in encoding._bytes_of("mac_greek").items()}
+    once = misread("δικαστήριο", "cp1252")
+    if "�" not in once:
+        assert "δικαστήριο" in [t for _, t, _, _ in encoding.readings(once)]
+    twice = "".join(chr(b) if b < 128 else back[b] for b in misread("καλή", "iso8859_7").encode("iso8859_7", "ignore"))
+    assert twice and all(isinstance(t, str) for _, t, _, _ in encoding.readings(twice))
+
+
+# ---- signs outside words
+
+
+@pytest.mark.parametrize("text, found", [("απλό κείμενο", set()), ("α‑β", {"‑"}), ("κα​λή", {"κα​λή"}), ("άρθρο ５", {"５"}), ("α ́ β", {"́"}), ("όρος software", set())])
+def test_suspects(text, found):
+    assert lookalike.suspects(text) == found
+
+
+def test_marks_of_other_scripts_stay(spark):
+    rows = [("f", "a", 1, "Η λέξη हिन्दी εδώ"), ("f", "b", 1, "α ́ β"), ("f", "c", 1, "τιμή 5")]
+    df = spark.createDataFrame(rows, "field string, key string, version int, text string")
+    assert {r["key"] for r in lookalike.irregular(df).collect()} == {"b", "c"}
+
+
+def test_many_forms_are_joined_with_the_same_result(spark, monkeypatch):
+    rows = [("f", "a", 1, "Η παραγραφή και η αξίωση"), ("f", "b", 1, "Η παρaγραφή"), ("f", "c", 1, "ｓｗａｐ x")]
+    df = spark.createDataFrame(rows, "field string, key string, version int, text string")
+    want = {tuple(r) for r in lookalike.normalised(df).collect()}
+    monkeypatch.setattr(lookalike, "MOST_FORMS", 0)
+    assert {tuple(r) for r in lookalike.normalised(df).collect()} == want and ("f", "b", 1, "Η παραγραφή") in want
