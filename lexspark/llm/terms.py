@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.llm.common import flat, rows_of, slices, strings
+from lexspark.sources.tables import cut
 
 #: A term is a maximal run of letters: what lies between is dropped.
 NOT_LETTERS = r"[^\pL]+"
@@ -103,9 +104,12 @@ def ngram_counts(df: DataFrame, text: str, n: int = 1) -> DataFrame:
 def marked(counts: DataFrame, rare_below: int = 3, common_share: tuple[int, int] = (3, 10)) -> DataFrame:
     """``counts`` with ``mark``: rare (fewer records than ``rare_below``), common (more than the share), else null.
 
-    The comparison is in whole numbers.
+    The comparison is in whole numbers. The counts, far fewer than the
+    occurrences, are written once, so that no text is split again for the
+    number of records.
     """
     num, den = common_share
+    counts = cut(counts)
     records = counts.filter("n = 0").agg(F.sum("df").alias("n_records")).withColumn("_one", F.lit(1))  # a single row
     mark = F.when(F.col("df") < rare_below, "rare").when(F.col("df") * den > F.col("n_records") * num, "common")
     terms = counts.filter("n > 0").withColumn("_one", F.lit(1))
