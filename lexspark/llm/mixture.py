@@ -4,16 +4,19 @@ Sizes are tokens. The size of the mix is the largest at which every source
 that has documents can still have its share of it under its cap on repeats
 (or a size the caller gives; then sources at their cap leave the rest to the
 others in proportion to their weights). The order of the mix is a Pfair
-schedule: each source's share is cut into blocks of one size, the j-th block
-of a source of weight w is released at (j - 1) / w and due at j / w, and the
-released block of the earliest deadline goes next. So at every point each
-source is within one block of its share of what has gone.
+schedule: each source's share is cut into pieces, a piece that begins and ends
+at s and e tokens of a source of weight w is released at s / w and due at
+e / w, and the released piece of the earliest deadline goes next. Pieces begin
+and end between documents, and their true sizes are scheduled. A piece is
+smaller than half a block by the largest document, so that at every document
+of the mix each source is within one block of its share of what has gone.
 
 The most blocks are a parameter, not a function of the data (fewer where a
-block would not hold the largest document); the schedule is computed on the
-driver for that many blocks. Documents get their place in
-their source by two-level prefix sums (bucket sums, then within buckets), so no
-task holds a whole source.
+block would not hold four of the largest documents, at least one); the
+schedule is computed on the driver for their pieces, of which there are at
+most four to a block. Documents get their place in their source by two-level
+prefix sums (bucket sums, then within buckets), so no task holds a whole
+source.
 
 Defined results: null, empty and blank texts count by their tokens (none for
 null and empty) and texts without tokens are not used; documents of a null or
@@ -26,6 +29,7 @@ an empty table gives an empty mix and a report of zeros.
 from __future__ import annotations
 
 import heapq
+import math
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
@@ -63,6 +67,33 @@ def pfair(weights: dict[str, float], blocks: int) -> list[tuple[str, int]]:
     return out
 
 
+def schedule(sizes: dict[str, list[int]]) -> list[tuple[str, int, int]]:
+    """(source, j, begin) in the order of the schedule: pieces of given sizes; begin counts the tokens before a piece."""
+    own = {s: sum(x) for s, x in sizes.items() if sum(x) > 0}
+    total = sum(own.values())
+    due = {s: [Fraction(0)] for s in own}
+    for s in own:
+        done = 0
+        for x in sizes[s]:
+            done += x
+            due[s].append(Fraction(done * total, own[s]))
+    waiting = [(Fraction(0), s, 0) for s in sorted(own)]
+    heapq.heapify(waiting)
+    ready: list[tuple[Fraction, str, int]] = []
+    out: list[tuple[str, int, int]] = []
+    now = 0
+    while waiting or ready:
+        while waiting and (waiting[0][0] <= now or not ready):
+            _, s, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (due[s][j + 1], s, j))
+        _, s, j = heapq.heappop(ready)
+        out.append((s, j, now))
+        now += sizes[s][j]
+        if j + 1 < len(sizes[s]):
+            heapq.heappush(waiting, (due[s][j + 1], s, j + 1))
+    return out
+
+
 def quotas(have: dict[str, int], share: dict[str, float], caps: dict[str, int], total: int | None = None) -> dict[str, float]:
     """Tokens of every source in the mix."""
     live = {s: share[s] for s in share if share[s] and share[s] > 0 and have.get(s, 0) > 0 and (caps.get(s) or 0) >= 1}
@@ -87,25 +118,26 @@ def quotas(have: dict[str, int], share: dict[str, float], caps: dict[str, int],
 
 
 def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, blocks: int = BLOCKS, ranks: str = DEFAULT_RANKS) -> tuple[DataFrame, DataFrame]:
-    """The mix (pos, doc_id, source, turn, n_tokens) and the report of shares by source.
+    """The mix (pos, doc_id, source, turn, n_tokens, block_tokens) and the report of shares by source.
 
-    ``pos`` orders the mix (slot of the schedule, then the place in the
-    source); ``turn`` counts the uses of a document from 1. Targets are one
-    row per source and few; sources repeated there count once (greatest share).
+    ``pos`` is the number of tokens of the mix before the document, so it
+    orders the mix; ``turn`` counts the uses of a document from 1;
+    ``block_tokens`` is the bound: at the end of every document each source
+    has its share of what has gone, give or take less than that. Targets are
+    one row per source and few; sources repeated there count once (greatest share).
     """
     spark = docs.sparkSession
     want = {r["source"]: (r["w"], r["m"]) for r in targets.filter("source is not null").groupBy("source").agg(F.max(F.col("target_share").cast("double")).alias("w"), F.max(F.col("max_repeats").cast("int")).alias("m")).collect()}
     listed = targets.select("source").filter("source is not null").distinct()
-    named = docs.select("doc_id", "source", "text").join(F.broadcast(listed), "source", "left_semi") if len(want) < 10_000 else docs.select("doc_id", "source", "text").join(listed, "source", "left_semi")
+    named = docs.select("doc_id", "source", "text").join(F.broadcast(listed), "source", "left_semi")  # one row a source; all were just collected
     sized = cut(count_tokens(named, keep=["doc_id", "source"], ranks=ranks).filter("n_tokens > 0 and doc_id is not null"))
     seen = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t"), F.max("n_tokens").alias("top")).collect()
     have = {r["source"]: (r["n"], r["t"]) for r in seen}
     quota = quotas({s: t for s, (_, t) in have.items()}, {s: w for s, (w, _) in want.items() if w}, {s: m for s, (_, m) in want.items() if m}, total)
-    size = sum(quota.values())
-    # a block holds the largest document at least
-    blocks = max(1, min(blocks, int(size / max([1, *(r["top"] for r in seen)]))))
-    plan = pfair({s: q / size for s, q in quota.items()}, blocks) if size else []
-    per_block = size / blocks if size else 1.0
+    size, top = sum(quota.values()), max([1, *(r["top"] for r in seen)])
+    # a block holds four of the largest documents at least; a piece and the document that overruns it are half a block
+    block = max(math.ceil(size / max(1, blocks)), 4 * top + 2)
+    piece = block // 2 - top
     # place of every document in its source: sums of buckets first, then within a bucket
     buckets = 64 + sum(n for n, _ in have.values()) // BUCKET_DOCS
     placed = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
@@ -120,11 +152,20 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, blocks: i
         .withColumn("at", F.col("place") + (F.col("turn") - 1) * F.col("own"))
         # a document is in if at least half of it lies within the quota, so the last one is not always over
         .filter(F.col("at") + F.col("n_tokens") / 2 <= F.col("quota"))
-        .withColumn("block", (F.floor(F.col("at") / F.lit(per_block)) + 1).cast("int"))
+        .withColumn("piece", F.floor(F.col("at") / F.lit(piece)).cast("int"))
+        .select("doc_id", "source", "turn", "n_tokens", "at", "piece")
     )
-    slots = spark.createDataFrame([(s, j, k) for k, (s, j) in enumerate(plan)], "source string, block int, slot int")
-    mixed = used.join(F.broadcast(slots), ["source", "block"], "left").withColumn("slot", F.coalesce("slot", F.lit(blocks)))
-    out = mixed.select("slot", "at", "doc_id", "source", "turn", "n_tokens")
+    used = cut(used)
+    # the true pieces: at most four to a block, so a few ten thousand rows
+    cuts = used.groupBy("source", "piece").agg(F.sum("n_tokens").alias("t"), F.min("at").alias("a")).orderBy("source", "piece").collect()
+    sizes: dict[str, list[int]] = {}
+    for r in cuts:
+        sizes.setdefault(r["source"], []).append(r["t"])
+    pieces = {s: [(r["piece"], r["a"]) for r in cuts if r["source"] == s] for s in sizes}
+    begins = [(s, *pieces[s][j], now) for s, j, now in schedule(sizes)]
+    slots = spark.createDataFrame(begins, "source string, piece int, a long, begin long")
+    mixed = used.join(F.broadcast(slots), ["source", "piece"])
+    out = mixed.select((F.col("begin") + F.col("at") - F.col("a")).alias("pos"), "doc_id", "source", "turn", "n_tokens", F.lit(block).cast("long").alias("block_tokens"))
     return out, _report(spark, out, want, have, quota)
 
 

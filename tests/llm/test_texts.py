@@ -473,3 +473,46 @@ def test_many_forms_are_joined_with_the_same_result(spark, monkeypatch):
     want = {tuple(r) for r in lookalike.normalised(df).collect()}
     monkeypatch.setattr(lookalike, "MOST_FORMS", 0)
     assert {tuple(r) for r in lookalike.normalised(df).collect()} == want and ("f", "b", 1, "Η παραγραφή") in want
+
+
+# ---- the bound of a mix
+
+
+def within_one_block(rows, weights):
+    gone, seen = 0, Counter()
+    worst = 0.0
+    for r in sorted(rows, key=lambda r: r["pos"]):
+        assert r["pos"] == gone
+        gone += r["n_tokens"]
+        seen[r["source"]] += r["n_tokens"]
+        worst = max(worst, *(abs(seen[s] - w * gone) for s, w in weights.items()))
+    return worst
+
+
+def test_every_document_of_a_mix_is_within_one_block(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(SENTENCES) for _ in range(rng.randrange(1, 12))), rng.choice("aabbbc")) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.3, 1), ("c", 0.2, 4)], "source string, target_share double, max_repeats int")
+    out, _ = mixture.mix(docs, targets)
+    got = out.collect()
+    total = Counter()
+    for r in got:
+        total[r["source"]] += r["n_tokens"]
+    weights = {s: t / sum(total.values()) for s, t in total.items()}
+    worst = within_one_block(got, weights)
+    assert 0 < worst < got[0]["block_tokens"] < sum(total.values()) / 20
+    assert weights["a"] == pytest.approx(0.5, abs=0.01)
+
+
+def test_schedule_of_pieces():
+    rng = random.Random(9)
+    sizes = {s: [rng.randrange(50, 100) for _ in range(n)] for s, n in (("a", 200), ("b", 90), ("c", 7))}
+    own = {s: sum(x) for s, x in sizes.items()}
+    seen, gone = Counter(), 0
+    for s, j, begin in mixture.schedule(sizes):
+        assert begin == gone
+        gone += sizes[s][j]
+        seen[s] += sizes[s][j]
+        assert all(abs(seen[x] - gone * own[x] / sum(own.values())) < 200 for x in own)
+    assert seen == own and mixture.schedule({}) == []
