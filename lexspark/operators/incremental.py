@@ -1,6 +1,8 @@
 """Problem 5: processing only new or changed records.
 
-Rows are spread over a fixed number of partitions by a hash of their key. The
+Rows are spread over partitions by a hash of their key. How many there are
+follows the number of rows (``parts_for``) and is stored with the state; when
+four times as many would be right, a run lays the table out anew. The
 fingerprint of a partition is its count of rows and the sum (in decimal, so
 that it never overflows) of its row hashes; both add up, so they come from one
 pass with partial aggregation and do not depend on the order of rows. A run
@@ -10,6 +12,11 @@ overwrite. Fingerprints are stored after the data, as a new generation: a run
 that dies in between leaves the old generation, and the next run does the same
 partitions again with the same result, so nothing is skipped or done twice.
 
+The work runs once over the changed partitions: which of them it left without
+rows is observed while it is written. Changes scattered over more keys than
+there are partitions make most of them dirty; callers whose changes cluster
+may give a partition of their own (``part``).
+
 Defined results: null keys have no partition and are left out; exact repeats
 count in the fingerprint but the work sees them as it likes; partitions whose
 rows vanished are emptied; an empty table empties the output; clashing names
@@ -18,27 +25,34 @@ are renamed by the caller through ``columns``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PARTS = 64
+LEAST_PARTS = 16
 _PART = "part_no"
 
 
-def part_of(key: str, parts: int = PARTS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+def parts_for(rows: int) -> int:
+    """Partitions for so many rows: they and the rows in each grow alike."""
+    return max(LEAST_PARTS, math.ceil(2 * math.sqrt(rows)))
+
 
+def part_of(key: str, parts: int) -> Column:
+    """The partition of a key: the first 32 bits of its md5, so that other engines find it, too."""
+    return (F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % F.lit(parts)).cast("int")
 
-def fingerprints(df: DataFrame, key: str, columns: list[str], parts: int = PARTS) -> DataFrame:
+
+def fingerprints(df: DataFrame, key: str, columns: list[str], parts: int, part: Column | None = None) -> DataFrame:
     """(part_no, n, total): count and additive hash of the rows of every partition; nulls are hashed as such."""
     flags = [F.col(c).isNull() for c in columns]
     row = F.xxhash64(key, *columns, *flags).cast("decimal(20,0)")
     return (
         df.filter(F.col(key).isNotNull())
-        .select(part_of(key, parts).alias(_PART), row.alias("h"))
+        .select((part_of(key, parts) if part is None else part).alias(_PART), row.alias("h"))
         .groupBy(_PART)
         .agg(F.count(F.lit(1)).alias("n"), F.sum("h").cast("string").alias("total"))
     )
@@ -65,56 +79,63 @@ def refresh(
     columns: list[str],
     work: Callable[[DataFrame], DataFrame],
     path: str,
-    parts: int = PARTS,
+    parts: int | None = None,
+    part: Column | None = None,
 ) -> tuple[DataFrame, list[int]]:
     """Bring the table at ``path`` up to ``work(df)``; gives it and the partitions recomputed.
 
     ``work`` gets the rows of the changed partitions (``columns`` and the key)
-    and must return rows that carry the key. At most ``parts`` rows of
-    fingerprints reach the driver.
+    and must return rows that carry the key (and what ``part`` reads). At most
+    one row of fingerprints a partition reaches the driver.
     """
     spark = df.sparkSession
-    data, state = f"{path}/data", f"{path}/state"
+    state = f"{path}/state"
     need = list(dict.fromkeys([key, *columns]))
     src = df.select(*need).filter(F.col(key).isNotNull())
-    now = {r[_PART]: (r["n"], r["total"]) for r in fingerprints(src, key, columns, parts).collect()}
     gens = _generations(spark, state)
-    old = {}
+    old, had = {}, None
     if gens:
-        old = {r[_PART]: (r["n"], r["total"]) for r in spark.read.parquet(f"{state}/gen={gens[-1]}").collect()}
+        stored = spark.read.parquet(f"{state}/gen={gens[-1]}").collect()
+        had = stored[0]["parts"]  # the first row is a head without a partition
+        old = {r[_PART]: (r["n"], r["total"]) for r in stored if r[_PART] is not None}
+    size = parts if parts is not None else had
+    if size is None or parts is None:
+        wanted = parts_for(src.count())
+        size = wanted if size is None or wanted >= 4 * size else size
+    if size != had:
+        old = {}  # another layout: everything is new
+    data = f"{path}/data-{size}"
+    now = {r[_PART]: (r["n"], r["total"]) for r in fingerprints(src, key, columns, size, part).collect()}
     changed = sorted(k for k in now.keys() | old.keys() if now.get(k) != old.get(k))
-    if changed or not gens:
-        some = src.withColumn(_PART, part_of(key, parts))
-        if len(changed) < parts:
+    own = part_of(key, size) if part is None else part
+    fields = None
+    if changed or not gens or size != had:
+        some = src.withColumn(_PART, own)
+        if len(changed) < len(now.keys() | old.keys()):
             some = some.filter(F.col(_PART).isin(changed) if changed else F.lit(False))
-        out = work(some.drop(_PART)).withColumn(_PART, part_of(key, parts))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_PART).parquet(data)
-        _drop_stale(spark, data, [k for k in changed if k not in now])
-        _clear_vanished(spark, out, data, changed)
+        seen = Observation()
+        result = work(some.drop(_PART))
+        fields = result.schema.fields
+        out = result.withColumn(_PART, own).observe(seen, F.collect_set(_PART).alias("written"))
+        # one file a partition
+        out.repartition(_PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_PART).parquet(data)
+        written = set(seen.get["written"] or [])
+        _drop(spark, [f"{data}/{_PART}={k}" for k in changed if k not in written])
         gen = (gens[-1] + 1) if gens else 0
-        rows = [(k, n, t) for k, (n, t) in now.items()]
-        schema = f"{_PART} int, n long, total string"
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{state}/gen={gen}")
-    got = spark.read.schema(T.StructType([*work(src.limit(0)).schema.fields, T.StructField(_PART, T.IntegerType())]))
+        rows = [(None, None, None, size), *((k, n, t, size) for k, (n, t) in sorted(now.items()))]
+        spark.createDataFrame(rows, f"{_PART} int, n long, total string, parts int").coalesce(1).write.mode("overwrite").parquet(f"{state}/gen={gen}")
+        if had is not None and had != size:
+            _drop(spark, [f"{path}/data-{had}"])
+    fields = fields or work(src.limit(0)).schema.fields
+    got = spark.read.schema(T.StructType([*fields, T.StructField(_PART, T.IntegerType())]))
     return got.option("basePath", data).parquet(data).drop(_PART), changed
 
 
-def _drop_stale(spark: SparkSession, data: str, parts: list[int]) -> None:
-    for k in parts:
-        fs, p, _ = _fs(spark, f"{data}/{_PART}={k}")
-        fs.delete(p, True)
-
-
-def _clear_vanished(spark: SparkSession, out: DataFrame, data: str, changed: list[int]) -> None:
+def _drop(spark: SparkSession, paths: list[str]) -> None:
     """Dynamic overwrite leaves a partition for which the work gave no row; its old files go here."""
-    fs, p, _ = _fs(spark, data)
-    if not fs.exists(p):
-        return
-    there = {f.getPath().getName() for f in fs.listStatus(p)}
-    stale = [k for k in changed if f"{_PART}={k}" in there]
-    if stale:
-        with_rows = {r[0] for r in out.filter(F.col(_PART).isin(stale)).select(_PART).distinct().collect()}
-        _drop_stale(spark, data, [k for k in stale if k not in with_rows])
+    for x in paths:
+        fs, p, _ = _fs(spark, x)
+        fs.delete(p, True)
 
 
 def digest_of(column: str) -> Column:

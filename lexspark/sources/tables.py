@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -32,8 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def run_dir(spark: SparkSession, what: str) -> str:
-    """A new folder of one run's written tables in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new folder of one run's written tables in the shared folder; it goes when the program ends."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may have ended before
+        pass
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -41,7 +51,3 @@ def cut(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def clean_names(df: DataFrame, *wanted: str) -> DataFrame:
-    """Only the columns ``wanted``; others, whatever their names, go before any join."""
-    return df.select(*[F.col(f"`{c}`") for c in wanted])
