@@ -56,7 +56,9 @@ SWITCH = 4.0
 #: Clean tokens that may stand between two damaged ones of one span at no cost of entering again.
 GAP = 4
 #: Ways to fill the wildcards of one token that are spelled out.
-PATHS = 4096
+PATHS = 8192
+#: Patterns up to which they are broadcast; more are joined by a shuffle with the same result.
+FEW = 10_000
 TOKEN = "[ \t\r\n]+"
 EDGE = ".,;:!?()[]{}'\"-"
 EDGE_ALL = EDGE + "«»–’·“”„…"
@@ -265,9 +267,9 @@ def fillings(way: str, token: str) -> list[str] | None:
     for step in before:
         token = reread(step, token)
     if last == "lost":
-        kept = sum(c.isalpha() for c in token)
-        if token.count(_LOST) > kept:
-            return []  # too little is left of it
+        rest = token.replace(_LOST, "")
+        if _PLAIN.fullmatch(rest) is None or len(token) - len(rest) > sum(c.isalpha() for c in rest):
+            return []  # the rest is no Greek, or too little
         parts: list[str | tuple[str, ...]] = [tuple(_GREEK) if c == _LOST else c for c in token]
     else:
         parts = _BY_NAME[last].path(token)[0]
@@ -334,9 +336,11 @@ def damaged_tokens(vocabulary: DataFrame) -> DataFrame:
     cand = cut(vocabulary.mapInArrow(_candidates, "token string, n long, way string, meant string, word string, evidence double, complete boolean, guess boolean, pattern boolean"))
     scored = cand.filter("not pattern").join(words, "word", "left").filter("known is not null or not guess").drop("guess", "pattern")
     open_ = cand.filter("pattern").withColumn("size", F.length("word"))
-    if not open_.isEmpty():
+    patterns = open_.count()
+    if patterns:
         # words of the same length that the pattern fits; a lost character stands for any
         shaped = open_.withColumnRenamed("word", "like_").withColumn("shape", F.translate("like_", _LOST + "%_\\", "_"))
+        shaped = F.broadcast(shaped) if patterns <= FEW else shaped
         fits = shaped.join(words.withColumn("size", F.length("word")), "size").filter(F.expr("word like shape") & ~F.contains("word", F.lit(_LOST)))
         fits = fits.withColumn("meant", F.replace("meant", F.col("like_"), F.col("word")))
         scored = scored.unionByName(fits.select(*scored.columns))

@@ -11,6 +11,11 @@ rows repeat is one row in every band. A bucket of representatives is not
 expanded into pairs in one task: its members are dealt into blocks, and pairs
 of blocks are separate rows, so any size of bucket is spread and none is cut.
 
+Pairs of representatives become pairs of keys through blocks of their members
+(at most BLOCK keys each), so the members of a text that stands in a third of
+all rows are spread, too; ``groups`` needs no pairs of keys: it gives every
+record its class and its number of links.
+
 Defined results: null texts and texts of fewer than ``width`` words are in no
 pair and in no group; repeats of a key are one record; keys of several rows
 with different texts take each; equal texts have similarity 1; an empty table
@@ -117,7 +122,7 @@ def signatures(s: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
 
 
 def _signed(width: int, rows: int, bands: int):
-    """Per text and band (bucket, tid, sketch); the sketch, one bit of every coordinate, comes with the first band only."""
+    """Per text (tid, buckets, sketch): a bucket for every band, and one bit of every coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 2 << 20):
@@ -135,8 +140,8 @@ def _signed(width: int, rows: int, bands: int):
                     h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, r : rows * bands : rows])
                 h = _mix(h + np.arange(bands, dtype="u8"))
             bits = np.packbits((_mix(sig[:, :SKETCH]) & np.uint64(1)).astype("u1"), axis=1)
-            sketch = [bits[i // bands].tobytes() if i % bands == 0 else None for i in range(len(full) * bands)]
-            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view("i8")), pa.array(np.repeat(tid, bands)), pa.array(sketch, pa.binary())], ["bucket", "tid", "sketch"])
+            buckets = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype="i4") * bands), pa.array(h.ravel().view("i8")))
+            yield pa.RecordBatch.from_arrays([pa.array(tid), buckets, pa.array([b.tobytes() for b in bits], pa.binary())], ["tid", "buckets", "sketch"])
 
     return run
 
@@ -164,10 +169,9 @@ def least_agreement(threshold: float) -> int:
 
 def _sets(width: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
         for part in slices(batches, "text"):
-            hit = in_bloom(bits, part.column("tid").to_numpy().view("u8"))
-            part = part.filter(pa.array(hit))
+            if wanted is not None:
+                part = part.filter(pa.array(in_bloom(wanted.value, part.column("tid").to_numpy().view("u8"))))
             _, first = np.unique(part.column("tid").to_numpy(), return_index=True)
             part = part.take(pa.array(np.sort(first)))
             s, offsets = shingle_sets(strings(part.column("text")), width)
@@ -204,19 +208,19 @@ def records(df: DataFrame, key: str, text: str, field: str, version: str | None
     return df.filter(F.col(key).isNotNull() & t.isNotNull()).select(F.lit(field).alias("field"), F.col(key).cast("string").alias("key"), v.alias("version"), F.xxhash64(t).alias("tid"), t.alias("text"))
 
 
-def _meeting(rows: DataFrame, least: int) -> DataFrame:
-    """(a, b) of distinct texts that share a bucket and whose sketches are alike; rows are (bucket, tid, sketch).
+def _meeting(signed: DataFrame, least: int) -> DataFrame:
+    """(a, b) of distinct texts that share a bucket and whose sketches are alike; rows are (tid, buckets, sketch).
 
     The rows are shuffled by bucket once; counts and members use that same
     exchange. A bucket of up to BLOCK members is one row. A larger one is dealt
     into g blocks by hash, and every member goes to the g rows of the block
     pairs it takes part in, so a row holds two blocks at most.
     """
-    spread = rows.repartition("bucket")
-    # counts and members name the same columns (the conditions on them always hold),
-    # so that both plan the same exchange and the signatures for it are made once
-    sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("t"), F.count("sketch").alias("k")).filter("n > 1 and t is not null and k >= 0").drop("t", "k")
-    some = spread.join(sizes.hint("merge"), "bucket").filter("n > 1 or length(sketch) < 0").drop("sketch")
+    # copies in different slices are signed each: they meet here, in the same exchange
+    spread = signed.select("tid", F.explode("buckets").alias("bucket")).repartition("bucket").dropDuplicates(["bucket", "tid"])
+    # counts and members name the same columns (the condition on tid always holds), so that both plan the same exchange
+    sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("t")).filter("n > 1 and t is not null").drop("t")
+    some = spread.join(sizes.hint("merge"), "bucket")
     own = some.withColumn("g", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("tid"), F.col("g")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     cell = dealt.groupBy("bucket", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y")).agg(
@@ -228,7 +232,7 @@ def _meeting(rows: DataFrame, least: int) -> DataFrame:
         (F.col("lb") == F.col("x")) & (F.col("r.blk") == F.col("y")) & ((F.col("x") != F.col("y")) | (F.col("l") < F.col("r.tid")))
     )
     pairs = pair.select(F.least("l", "r.tid").alias("a"), F.greatest("l", "r.tid").alias("b")).distinct()
-    sketch = rows.filter(F.col("sketch").isNotNull()).groupBy("tid").agg(F.first("sketch").alias("sketch"))
+    sketch = signed.groupBy("tid").agg(F.first("sketch").alias("sketch"))
     x, y = sketch.select(F.col("tid").alias("a"), F.col("sketch").alias("sa")), sketch.select(F.col("tid").alias("b"), F.col("sketch").alias("sb"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(_alike(least), "a long, b long")
 
@@ -237,37 +241,99 @@ def similar_texts(texts: DataFrame, width: int = WIDTH, threshold: float = THRES
     """(a, b, jaccard) of pairs of different texts (tid, text) at ``threshold`` or more, a < b.
 
     Texts are read where they are, once for the signatures and once for the
-    sets of those in candidate pairs; neither is ever shuffled.
+    sets of those in candidate pairs. Texts are shuffled only if the candidates
+    are more than the largest Bloom filter holds.
     """
     rows, bands = bands_for(threshold)
     texts = texts.select("tid", "text")
-    pairs = cut(_meeting(texts.mapInArrow(_signed(width, rows, bands), "bucket long not null, tid long not null, sketch binary"), least_agreement(threshold)))
+    signed = texts.mapInArrow(_signed(width, rows, bands), "tid long not null, buckets array<long>, sketch binary")
+    signed = cut(signed)
+    pairs = cut(_meeting(signed, least_agreement(threshold)))
     need = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
-    bits = texts.sparkSession.sparkContext.broadcast(bloom(need, F.col("tid")))
-    sets = texts.mapInArrow(_sets(width, bits), "tid long, grams array<long>").groupBy("tid").agg(F.first("grams").alias("grams"))
+    bits = bloom(need, F.col("tid"))
+    wanted = None if bits is None else texts.sparkSession.sparkContext.broadcast(bits)
+    source = texts.join(need, "tid", "left_semi") if bits is None else texts
+    sets = source.mapInArrow(_sets(width, wanted), "tid long, grams array<long>").groupBy("tid").agg(F.first("grams").alias("grams"))
     a, b = sets.select(F.col("tid").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("tid").alias("b"), F.col("grams").alias("gb"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ga", "gb").mapInArrow(_verify(threshold), "a long, b long, jaccard double")
 
 
+def _packed(member: DataFrame) -> DataFrame:
+    """(field, tid, blk, keys): the members of every text in blocks of about BLOCK keys, by a hash of the key."""
+    many = member.groupBy("field", "tid").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("g")).filter("g > 1")
+    dealt = member.join(many, ["field", "tid"], "left").withColumn("blk", F.coalesce(F.pmod(F.xxhash64("key"), F.col("g")), F.lit(0)).cast("int"))
+    return dealt.groupBy("field", "tid", "blk").agg(F.collect_list("key").alias("keys"))
+
+
 def key_pairs(recs: DataFrame, members: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """(field, key_a, key_b, jaccard) of all pairs of different keys of one field; key_a < key_b as strings.
 
     ``recs`` are records, perhaps of former versions too; ``members`` (field,
     key, tid) says whose texts count. Pairs of representatives are joined with
-    their members, equal texts included.
+    the blocks of their members, and copies of one text block by block.
     """
     near = cut(similar_texts(recs, width, threshold))
-    member = members.select("field", "tid", "key").distinct()
-    l = member.select(F.col("field"), F.col("tid").alias("a"), F.col("key").alias("ka"))
-    r = member.select(F.col("field").alias("fb"), F.col("tid").alias("b"), F.col("key").alias("kb"))
+    packed = cut(_packed(members.select("field", "tid", "key").distinct()))
+    l = packed.select("field", F.col("tid").alias("a"), F.col("keys").alias("ka"))
+    r = packed.select(F.col("field").alias("fb"), F.col("tid").alias("b"), F.col("keys").alias("kb"))
     across = near.join(l, "a").join(r, "b").filter("field = fb").select("field", "ka", "kb", "jaccard")
-    many = member.groupBy("field", "tid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("field", "tid")
-    copy = member.join(many, ["field", "tid"])
-    equal = copy.select("field", "tid", F.col("key").alias("ka")).join(copy.select("field", "tid", F.col("key").alias("kb")), ["field", "tid"]).select("field", "ka", "kb", F.lit(1.0).alias("jaccard"))
-    both = across.unionByName(equal).filter("ka <> kb")
+    # copies of one text: each block with itself and with the blocks after it
+    many = packed.filter("blk > 0").select("field", "tid").distinct().withColumn("several", F.lit(True))
+    copies = packed.join(many, ["field", "tid"], "left").filter(F.col("several") | (F.size("keys") > 1)).drop("several")
+    x, y = copies.select("field", "tid", F.col("blk").alias("x"), F.col("keys").alias("ka")), copies.select("field", "tid", F.col("blk").alias("y"), F.col("keys").alias("kb"))
+    equal = x.join(y, ["field", "tid"]).filter("x <= y").select("field", "ka", "kb", F.lit(1.0).alias("jaccard"))
+    both = across.unionByName(equal).select("field", F.explode("ka").alias("ka"), "kb", "jaccard").select("field", "ka", F.explode("kb").alias("kb"), "jaccard").filter("ka <> kb")
     return both.groupBy("field", F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).agg(F.max("jaccard").alias("jaccard"))
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of all nodes of ``edges`` (a, b): root is the least node of its connected component.
+
+    Alternating stars: in turns every node links its larger and then its
+    smaller neighbours to the least one it knows, until nothing changes. Each
+    turn is written to the shared folder; the number of turns grows with the
+    logarithm of the size of a component. Only counts reach the driver.
+    """
+    star = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while True:
+        both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(large.filter("u <> v").distinct())
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(down, "u")
+        new = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        if new.count() == star.count() and new.join(star, ["u", "v"], "left_anti").isEmpty():
+            break
+        star = new
+    roots = star.groupBy("u").agg(F.min("v").alias("root"))
+    return roots.select(F.col("u").alias("node"), "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def groups(recs: DataFrame, members: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
+    """(field, key, group_key, n_links) of every record that has a near-duplicate: its class and its number of partners.
+
+    Classes are the connected components over pairs of different texts, each
+    text with all its copies; ``group_key`` is the least key of the class. A
+    partner is a record of the same field whose text is similar or the same.
+    Copies are never paired: their number counts.
+    """
+    near = cut(similar_texts(recs, width, threshold).select("a", "b"))
+    member = cut(members.select("field", "tid", "key").distinct())
+    copies = member.groupBy("field", "tid").agg(F.count(F.lit(1)).alias("n"))
+    pairs = near.join(copies.select("field", F.col("tid").alias("a"), F.col("n").alias("na")), "a").join(copies.select(F.col("field").alias("fb"), F.col("tid").alias("b"), F.col("n").alias("nb")), "b").filter("field = fb")
+    pairs = cut(pairs.select("field", "a", "b", "na", "nb"))
+    links = pairs.select("field", F.col("a").alias("tid"), F.col("nb").alias("n")).unionByName(pairs.select("field", F.col("b").alias("tid"), F.col("na").alias("n"))).groupBy("field", "tid").agg(F.sum("n").alias("links"))
+    tag = lambda c: F.struct("field", F.col(c).alias("tid"))
+    roots = components(pairs.select(tag("a").alias("a"), tag("b").alias("b"))).select("node.field", "node.tid", F.col("root.tid").alias("root"))
+    classes = copies.join(links, ["field", "tid"], "left").join(roots, ["field", "tid"], "left").filter("n > 1 or links is not null")
+    classes = classes.select("field", "tid", F.coalesce("root", "tid").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    own = cut(member.join(classes, ["field", "tid"]))
+    heads = own.groupBy("field", "root").agg(F.min("key").alias("group_key"))
+    # a key of several texts of one field stands once, in the class of its least group
+    return own.join(heads, ["field", "root"]).groupBy("field", "key").agg(F.min("group_key").alias("group_key"), F.sum("n_links").alias("n_links"))
+
+
 def members(recs: DataFrame, width: int) -> DataFrame:
     """(field, key, version, tid) of the records with at least ``width`` words."""
     words = F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0)))

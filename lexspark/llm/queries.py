@@ -20,17 +20,22 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return vectors.similar_pairs(table(spark, root, "chunk")).select("id_a", "id_b")
 
 
+def p1_knn(spark: SparkSession, root: str) -> DataFrame:
+    """The ten nearest of every chunk, however far."""
+    return vectors.knn(table(spark, root, "chunk"))
+
+
 def p1_nearest(spark: SparkSession, root: str) -> DataFrame:
     chunk = table(spark, root, "chunk")
     return vectors.nearest(chunk, chunk.filter("id % 100 = 0"))
 
 
-def _term_counts(spark: SparkSession, root: str) -> DataFrame:
+def _term_counts(spark: SparkSession, root: str, n: int = 1) -> DataFrame:
     chunk = table(spark, root, "chunk").filter(F.col("id").isNotNull()).select("id", "content").dropDuplicates(["id"])
     body = latest_rows(table(spark, root, "decision"), "cd", "last_fetched", ["cd", "body"])
     out = None
     for field, df, text in (("chunk.content", chunk, "content"), ("decision.body", body, "body")):
-        one = terms.marked(terms.ngram_counts(df, text)).select(F.lit(field).alias("field"), "term", "tf", "df", "mark")
+        one = terms.marked(terms.ngram_counts(df, text, n)).select(F.lit(field).alias("field"), "n", "term", "tf", "df", "mark")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -40,7 +45,12 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p2_counts(spark: SparkSession, root: str) -> DataFrame:
-    return _term_counts(spark, root)
+    return _term_counts(spark, root).drop("n")
+
+
+def p2_phrases(spark: SparkSession, root: str) -> DataFrame:
+    """The phrases of two and three terms that are neither rare nor common."""
+    return _term_counts(spark, root, 3).filter((F.col("n") > 1) & F.col("mark").isNull()).select("field", "n", F.col("term").alias("phrase"), "tf", "df")
 
 
 def _spelled(spark: SparkSession, root: str) -> DataFrame:
@@ -66,16 +76,29 @@ def p3_forms(spark: SparkSession, root: str) -> DataFrame:
     return _now(lookalike.normalised(_spelled(spark, root)), spark, root).select("field", F.col("key").alias("record_key"), "text").dropDuplicates(["field", "record_key"])
 
 
-def p6_found(spark: SparkSession, root: str) -> DataFrame:
+def _texts(spark: SparkSession, root: str, bad: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Passages, headnotes (of former versions too), and the members of both that count: current ones that are not garbled."""
     decision = table(spark, root, "decision")
-    bad = _garbled(decision, ["summary"]).select(F.col("cd").alias("key"))
     summary = neardup.records(decision, "cd", "summary", "decision.summary", "last_fetched")
     chunks = neardup.records(table(spark, root, "chunk"), "id", "content", "chunk.content")
-    now = keep_latest(neardup.members(summary, 3), latest_versions(decision, "cd", "last_fetched").withColumnsRenamed({"cd": "key", "last_fetched": "version"}), "key", "version")
-    members = cut(neardup.members(chunks, 3).unionByName(now.join(bad, "key", "left_anti")))
+    now = keep_latest(neardup.members(summary, width), latest_versions(decision, "cd", "last_fetched").withColumnsRenamed({"cd": "key", "last_fetched": "version"}), "key", "version")
+    return chunks, summary, cut(neardup.members(chunks, width).unionByName(now.join(bad, "key", "left_anti")))
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    bad = _garbled(table(spark, root, "decision"), ["summary"]).select(F.col("cd").alias("key"))
+    chunks, summary, members = _texts(spark, root, bad, 3)
     return neardup.key_pairs(chunks.unionByName(summary), members, width=3, threshold=0.6).select("field", "key_a", "key_b")
 
 
+def p6_groups(spark: SparkSession, root: str) -> DataFrame:
+    """The groups of passages and headnotes by the library's own measure (five words, 0.8), one row a record."""
+    decision = table(spark, root, "decision")
+    bad = _garbled(decision, ["summary"]).select(F.col("cd").alias("key"))
+    chunks, summary, members = _texts(spark, root, bad, neardup.WIDTH)
+    return neardup.groups(chunks.unionByName(summary), members)
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return _garbled(table(spark, root, "decision"), ["body", "summary"]).select("cd", "field")
 
@@ -106,7 +129,7 @@ def p10_rates(spark: SparkSession, root: str) -> DataFrame:
     return truncation.rates(truncation.truncated(table(spark, root, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_counts, p3_found, p3_forms, p6_found, p7_found, p7_restored, p8_ids, p9_mix, p9_shares, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_knn, p1_nearest, p2_found, p2_counts, p2_phrases, p3_found, p3_forms, p6_found, p6_groups, p7_found, p7_restored, p8_ids, p9_mix, p9_shares, p10_found, p10_rates)}
 
 _CURRENT = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cd ORDER BY last_fetched DESC NULLS LAST) AS r FROM decision WHERE cd IS NOT NULL) WHERE r = 1)"
 _TERMS = rf"""
@@ -117,7 +140,18 @@ _TERMS = rf"""
     c AS (SELECT field, term, count(*) AS tf, count(DISTINCT k) AS df FROM w GROUP BY field, term),
     m AS (SELECT c.field, term, tf, df, CASE WHEN df < 3 THEN 'rare' WHEN 10 * df > 3 * n THEN 'common' END AS mark FROM c JOIN n ON c.field = n.field)"""
 
+_PHRASES = rf"""
+    WITH rec AS (SELECT DISTINCT 'chunk.content' AS field, id::VARCHAR AS k, content AS t FROM chunk WHERE content IS NOT NULL AND id IS NOT NULL
+                 UNION ALL SELECT 'decision.body', cd, body FROM {_CURRENT} WHERE body IS NOT NULL),
+    s AS (SELECT field, count(*) AS records FROM rec GROUP BY field),
+    w AS (SELECT field, k, regexp_extract_all(t, '\p{{L}}+') AS t FROM rec),
+    g AS (SELECT field, k, 2 AS n, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS phrase FROM w
+          UNION ALL SELECT field, k, 3, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) FROM w),
+    c AS (SELECT field, n, phrase, count(*) AS tf, count(DISTINCT k) AS df FROM g GROUP BY field, n, phrase)
+    SELECT c.field, n::INT AS n, phrase, tf, df FROM c JOIN s ON s.field = c.field WHERE df >= 3 AND 10 * df <= 3 * records"""
+
 SQL: dict[str, str] = {
+    "p2_phrases": _PHRASES,
     "p2_found": _TERMS + " SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p2_counts": _TERMS + " SELECT field, term, tf, df, mark FROM m",
 }

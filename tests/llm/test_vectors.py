@@ -64,3 +64,50 @@ def test_nearest_is_exact(spark):
         s[q] = -2
         assert [r["id"] for r in got if r["q"] == q] == np.argsort(-s)[:5].tolist()
     assert got[0]["cosine"] <= 1 and df.filter(F.col("id") < 0).count() == 0
+
+
+def test_knn_recall_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 64)).astype("f4")
+    x[:400] = x[400:800] + 0.3 * rng.standard_normal((400, 64))
+    monkeypatch.setattr(V.depth_and_trees, "__defaults__", (700, V.RECALL))
+    monkeypatch.setattr(V, "CELL", 700)
+    got = V.knn(frame(spark, [(i, v.tolist(), "x", 1) for i, v in enumerate(x)])).collect()
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(i, j) for i, js in enumerate(np.argsort(-s, axis=1)[:, :10].tolist()) for j in js}
+    found = {(r["q"], r["id"]) for r in got}
+    assert len(got) == 30_000 and len(found & want) >= 0.9 * len(want)
+    assert max(r["rank"] for r in got) == 10
+
+
+def test_the_test_tightens_with_the_kth_best():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1500, 64)).astype("f4")
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    p = x @ V.projection(3, 64)
+    i, j, c = V.search(x, p, 5, -1.0)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    want = {(a, b) for a, bs in enumerate(np.argsort(-s, axis=1)[:, :5].tolist()) for b in bs}
+    assert len(i) == 7500 and len(set(zip(i.tolist(), j.tolist())) & want) >= 0.93 * len(want)
+    assert (np.abs(s[i, j] - c) < 1e-3).all()
+
+
+def test_dense_cells_are_split(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.standard_normal((500, 64)), rng.standard_normal(64) + 0.001 * rng.standard_normal((3000, 64))])
+    df = frame(spark, [(i, v.tolist(), "x", 1) for i, v in enumerate(x)])
+    points = V.unit_vectors(df, "id", "embedding", 64).select("id", "vec").cache()
+    monkeypatch.setattr(V, "FIT_ROWS", 300)
+    forest = V.build(points, 3500, 64, 3, 2, cell=100)
+    sizes = points.mapInArrow(V._cells(forest, counts=True), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    assert sum(r["n"] for r in sizes) == 7000 and max(r["n"] for r in sizes) <= 400
+
+
+def test_leaves_hold_all_rows():
+    p = np.random.default_rng(8).standard_normal((1000, 16)).astype("f4")
+    got = V.leaves(p, 130)
+    assert sorted(np.concatenate(got).tolist()) == list(range(1000)) and max(map(len, got)) <= 130
+    assert V.trees_for(np.full(10, 0.4), 3, 0.9) > V.trees_for(np.full(10, 0.9), 3, 0.9)
