@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
+import urllib.parse
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _plain_letters() -> tuple[str, str]:
@@ -74,24 +78,53 @@ def split_info(c: Column) -> tuple[Column, Column]:
     return left, F.when(at > 0, F.trim(F.substring(t, at + 1, F.length(t))))
 
 
+@F.pandas_udf(T.StringType())
+def unescape(col: pd.Series) -> pd.Series:
+    """Named and numeric entities resolved; Arrow batches, as the JVM has no table of them."""
+    return col.map(lambda x: html.unescape(x) if x is not None and "&" in x else x)
+
+
 def text_of_html(c: Column) -> Column:
-    """Readable text of a page: scripts dropped, breaks as lines, the usual entities resolved, white space squeezed."""
-    t = F.regexp_replace(c, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
-    t = F.regexp_replace(t, r"(?i)<br\s*/?>|</(?:p|div|tr|li|h[1-6])\s*>", "\n")
-    t = F.regexp_replace(t, r"(?s)<[^>]*>", "")
-    t = F.regexp_replace(t, r"&nbsp;?", " ")
-    for name, value in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("laquo", "«"), ("raquo", "»"), ("amp", "&")):
-        t = F.regexp_replace(t, f"&{name};", value)
+    """Readable text of a page: scripts dropped, breaks as lines, tags as blanks, entities resolved.
+
+    White space is squeezed, lines are trimmed, and at most one line in a row
+    is empty. ``&nbsp`` counts with or without its semicolon.
+    """
+    t = F.regexp_replace(c, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
+    t = F.regexp_replace(t, r"(?i)<br\s*/?>|</(?:p|div|tr)\s*>", "\n")
+    t = F.regexp_replace(t, r"(?s)<[^>]+>", " ")
+    t = unescape(F.regexp_replace(t, r"&nbsp;?", " "))
     t = F.regexp_replace(t, r"\r\n?", "\n")
-    t = F.regexp_replace(t, "[ \t ]+", " ")
+    t = F.regexp_replace(t, "[ \t\u00a0\u2000-\u200b]+", " ")
     t = F.regexp_replace(t, r" *\n *", "\n")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
     return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
 
 
+def same_case(c: Column) -> Column:
+    """Lower case with every sigma alike."""
+    return F.translate(F.lower(c), "ς", "σ")
+
+
 def contains_folded(c: Column, part: str) -> Column:
-    """Case-insensitive substring; % and _ of ``part`` stand for themselves."""
-    return F.contains(F.lower(c), F.lit(part.lower()))
+    """Case-insensitive substring, final sigma as sigma; % and _ of ``part`` stand for themselves."""
+    return F.contains(same_case(c), F.lit(part.lower().replace("ς", "σ")))
+
+
+def pretty_size(c: Column) -> Column:
+    """A number of bytes in words: bytes, kB or MB, rounded."""
+    return F.when(c < 1 << 10, F.concat(c, F.lit(" bytes"))).when(c < 1 << 20, F.concat(F.round(c / (1 << 10)).cast("int"), F.lit(" kB"))).otherwise(F.concat(F.round(c / (1 << 20)).cast("int"), F.lit(" MB")))
+
+
+@F.pandas_udf(T.StringType())
+def _percent(col: pd.Series, codepage: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else urllib.parse.quote(x.encode(e, errors="replace")) for x, e in zip(col, codepage)], dtype=object)
+
+
+def form_encode(fields: list[tuple[str, Column]], codepage: str = "cp1253") -> Column:
+    """A form body: names and values percent-encoded in the code page of the site (``?`` for what it lacks); nulls are empty."""
+    cp = F.lit(codepage)
+    return F.concat_ws("&", *[F.concat(_percent(F.lit(k), cp), F.lit("="), _percent(F.coalesce(v.cast("string"), F.lit("")), cp)) for k, v in fields])
 
 
 #: Endings of inflected words, folded (fixed values of the public Greek suffix
@@ -128,6 +161,10 @@ def stem_word(word: str) -> str:
     return re.sub(END_LAST, r"\1", re.sub(END_NEUTER, r"\1", first))
 
 
+_PLAIN = str.maketrans(_SRC, _DST)
+
+
 def fold_word(s: str) -> str:
-    s = "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
-    return unicodedata.normalize("NFC", s).lower().replace("ς", "σ")
+    """``fold`` on the driver, by the same table."""
+    bare = "".join(c for c in s if unicodedata.category(c) != "Mn")
+    return bare.translate(_PLAIN).lower().replace("ς", "σ")

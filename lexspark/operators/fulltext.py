@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +23,14 @@ from lexspark.functions.text import fold, fold_word, stem_word
 from lexspark.sources.tables import cut
 
 NOT_TOKEN = r"[^\pL\pN_]+"
+# The least length of a prefix, the vowels that may go from its end, the most characters of a query.
 MIN_PREFIX = 5
-MAX_ACRONYM = 6
+VOWELS = "αεηιουω"
 MOST_QUERY_CHARS = 600
+#: Fixed value: a query that finds fewer passages by all its terms is asked for any of them.
+LEAST_HITS = 5
+# Two to six characters, all letters capitals, or a capital first and another one somewhere.
+ACRONYM = r"^(?=[\p{L}\p{N}_]{2,6}$)(?:[^\p{Ll}]*\p{Lu}[^\p{Ll}]*|[^\p{L}]*\p{Lu}.*\p{Lu}.*)$"
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 # Function words left out of queries, folded.
 STOPWORDS = frozenset(
@@ -42,8 +48,8 @@ STOPWORDS = frozenset(
     τοτε τωρα εδω εκει ναι οχι
     """.split()
 )
-_QUOTES = "\"“”"
-_OPERATORS = re.compile(rf"[{_QUOTES}]|(?<!\w)-\w|\b(?:OR|AND)\b")
+# Fixed value: what makes a query one with operators.
+_OPERATORS = re.compile(r'["\u201c\u201d]|(?<!\w)-\w|\bOR\b|\bAND\b')
 _WORDS = re.compile(r"\w+")
 
 
@@ -88,18 +94,22 @@ def write_index(index: DataFrame, path: str) -> DataFrame:
     return index.sparkSession.read.parquet(path)
 
 
+_ACRONYM = regex.compile(ACRONYM)
+
+
 def is_acronym(token: str) -> bool:
-    """Two to six characters, all capitals, or a capital first and a second one somewhere."""
-    if not 2 <= len(token) <= MAX_ACRONYM:
-        return False
-    letters = [c for c in token if c.isalpha()]
-    return bool(letters) and (token.isupper() or letters[0].isupper() and sum(map(str.isupper, letters)) > 1)
+    return _ACRONYM.match(token) is not None
+
+
+def searches(word: Column) -> Column:
+    """Whether a word of a query searches: it has a digit, is an acronym, or is no function word."""
+    return word.rlike(r"\p{N}") | word.rlike(ACRONYM) | ~fold(word).isin(sorted(STOPWORDS))
 
 
 def content_words(query: str) -> list[str]:
-    """The words of a query that search: function words go, acronyms and tokens with digits stay."""
-    keep = lambda w: any(map(str.isdigit, w)) or is_acronym(w) or fold_word(w) not in STOPWORDS
-    return [w for w in _WORDS.findall(query) if keep(w)]
+    """The words of a query that search (``searches``, on the driver)."""
+    function = [w for w in _WORDS.findall(query) if fold_word(w) in STOPWORDS and not regex.search(r"\p{N}", w) and not is_acronym(w)]
+    return [w for w in _WORDS.findall(query) if w not in function]
 
 
 @dataclass(frozen=True)
@@ -142,7 +152,7 @@ def widen(lexeme: str) -> Term:
     """Long lexemes become prefixes, less one unstable vowel at the end if they stay long enough."""
     if len(lexeme) < MIN_PREFIX:
         return Term((lexeme,))
-    cut = lexeme[:-1] if len(lexeme) > MIN_PREFIX and lexeme[-1] in "αεηιουω" else lexeme
+    cut = lexeme[:-1] if len(lexeme) > MIN_PREFIX and lexeme[-1] in VOWELS else lexeme
     return Term((cut,), prefix=True)
 
 
@@ -151,9 +161,9 @@ def _lexemes(text: str) -> tuple[str, ...]:
 
 
 def _websearch(query: str) -> Query:
-    """Terms are joined by AND; "..." is a phrase, OR a choice, a leading hyphen a negation."""
+    """Terms are joined by AND; "..." is a phrase, OR a choice, a leading hyphen a negation. Curly quotes are no operators."""
     groups: list[list[Term]] = [[]]
-    for m in re.finditer(rf"(-?)(?:[{_QUOTES}]([^{_QUOTES}]*)[{_QUOTES}]?|([^\s{_QUOTES}]+))", query):
+    for m in re.finditer(r'(-?)(?:"([^"]*)"?|([^\s"]+))', query):
         sign, phrase, word = m.groups()
         if phrase is None and word.upper() == "OR":
             groups.append([])
@@ -229,6 +239,14 @@ def search(index: DataFrame, docs: DataFrame, query: Query) -> DataFrame:
     return matched.join(scores, "doc", "left").select("doc", F.coalesce(F.col("r") / (F.col("r") + 1), F.lit(0.0)).alias("score"))
 
 
+def search_relaxed(index: DataFrame, docs: DataFrame, query: Query, least: int = LEAST_HITS) -> DataFrame:
+    """``search``, or for any of the terms if all of them together hit fewer than ``least`` documents and the query was expanded."""
+    hits = cut(search(index, docs, query))
+    if query.expanded and len(query.terms) > 1 and hits.limit(least).count() < least:
+        hits = search(index, docs, query.relaxed())
+    return hits
+
+
 def cover_density(occ: DataFrame, every: list[int] | None) -> DataFrame:
     """(doc, r): the sum over minimal covers of their mean weight over their length.
 
@@ -261,21 +279,45 @@ def cover_density(occ: DataFrame, every: list[int] | None) -> DataFrame:
     return got.groupBy("doc").agg(F.sum(density).alias("r"))
 
 
-def headline(text: Column, query: Query, words: int = 40, most: int = 2) -> Column:
-    """Up to ``most`` fragments around the first matching words, matches in ``**``, joined by `` … ``.
+# The most and least words of a fragment, the most fragments, the mark of a match and what joins fragments.
+MOST_WORDS, LEAST_WORDS, FRAGMENTS, MARK, JOIN = 40, 18, 2, "**", " … "
+
+
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def headline(text: Column, query: Query, most: int = MOST_WORDS, least: int = LEAST_WORDS) -> Column:
+    """Up to two fragments of a text with the most matching words, matches in ``**``.
 
-    Words are matched by their folded beginnings; a text without a match gives
-    its first ``words`` words.
+    A fragment begins at a match; of those that begin so, the one with the most
+    matches within ``most`` words is taken, the first among equals, and another
+    one that does not meet it. It ends with its last match and is filled up to
+    ``least`` words on both sides. A text without a match gives its first words;
+    a null text null. The text is split and folded once.
     """
     heads = [re.escape(t.words[0]) for t in query.terms if not t.negated]
-    tokens = F.split(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), " ")
-    if not heads:
-        return F.array_join(F.slice(tokens, 1, words), " ")
-    pattern = "^[^\\p{L}\\p{N}]*(" + "|".join(heads) + ")"
-    marked = F.transform(tokens, lambda t: F.when(fold(t).rlike(pattern), F.concat(F.lit("**"), t, F.lit("**"))).otherwise(t))
-    at = F.filter(F.transform(marked, lambda t, i: F.when(t.startswith("**"), i)), lambda i: i.isNotNull())
-    half = words // 2
-    first = F.coalesce(F.try_element_at(at, F.lit(1)), F.lit(0))
-    second = F.try_element_at(F.filter(at, lambda i: i > first + half), F.lit(1)) if most > 1 else F.lit(None).cast("int")
-    cut = lambda c: F.array_join(F.slice(marked, F.greatest(c - half // 2, F.lit(0)) + 1, F.lit(half if most > 1 else words)), " ")
-    return F.concat_ws(" … ", cut(first), F.when(second.isNotNull(), cut(second)))
+    pattern = "^[^\\p{L}\\p{N}]*(" + "|".join(heads) + ")" if heads else "^$."
+    plain = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    tokens = F.split(plain, " ")
+    found = F.filter(F.transform(F.split(fold(plain), " "), lambda t, i: F.when(t.rlike(pattern), i)), lambda i: i.isNotNull())
+
+    def best(starts: Column, at: Column) -> Column:
+        """The start of the fragment with the most matches."""
+        counted = F.transform(starts, lambda s: F.struct(F.size(F.filter(at, lambda x: (x >= s) & (x < s + most))).alias("n"), (-s).alias("s")))
+        return -F.array_max(counted)["s"]
+
+    def fragment(s: Column, t: Column, at: Column) -> Column:
+        size = F.array_max(F.filter(at, lambda x: (x >= s) & (x < s + most))) - s + 1
+        spare = F.floor(F.greatest(least - size, F.lit(0)) / 2).cast("int")
+        length = F.greatest(size, F.lit(least))
+        begin = F.greatest(F.least(s - spare, F.size(t) - length), F.lit(0))
+        return _let(F.struct(begin.alias("b"), length.alias("n")), lambda w: F.array_join(F.transform(F.slice(t, w["b"] + 1, w["n"]), lambda word, i: F.when(F.array_contains(at, i + w["b"]), F.concat(F.lit(MARK), word, F.lit(MARK))).otherwise(word)), " "))
+
+    def both(t: Column, at: Column) -> Column:
+        """The two fragments in the order of the text."""
+        return _let(best(at, at), lambda one: _let(best(F.filter(at, lambda x: (x >= one + most) | (x <= one - most)), at), lambda two: F.concat_ws(JOIN, fragment(F.least(one, two), t, at), F.when(two.isNotNull(), fragment(F.greatest(one, two), t, at)))))
+
+    shown = _let(F.struct(tokens.alias("t"), found.alias("at")), lambda w: F.when(F.size(w["at"]) > 0, both(w["t"], w["at"])).otherwise(F.array_join(F.slice(w["t"], 1, least), " ")))
+    return F.when(text.isNotNull(), shown)

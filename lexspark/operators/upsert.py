@@ -72,3 +72,18 @@ def evict(entries: DataFrame, last: str, key: str, oldest: Column, most: int) ->
     """
     w = Window.orderBy(F.desc(last), key)
     return entries.filter(F.col(last) >= oldest).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r")
+
+
+def start_runs(log: DataFrame, runs: DataFrame, id_: str, order: str) -> DataFrame:
+    """The rows of ``runs`` (a handful) with the next numbers after those of the log, in the order of a column."""
+    last = log.agg(F.coalesce(F.max(id_), F.lit(0)).alias("_last"))
+    numbered = runs.withColumn("_n", F.row_number().over(Window.orderBy(order)))
+    return numbered.crossJoin(F.broadcast(last)).withColumn(id_, (F.col("_last") + F.col("_n")).cast("long")).drop("_last", "_n")  # a single row
+
+
+def finish_runs(log: DataFrame, ends: DataFrame, id_: str) -> DataFrame:
+    """The log with what ``ends`` says of some runs."""
+    said = [c for c in ends.columns if c != id_]
+    e = ends.select(F.col(id_).alias("_id"), *[F.col(c).alias(f"_{c}") for c in said])
+    both = log.join(e, F.col(id_) == F.col("_id"), "left")
+    return both.select(*[F.when(F.col("_id").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in said else F.col(c) for c in log.columns])

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text
-from lexspark.operators import upsert
+from lexspark.operators import frontier, upsert
 from lexspark.operators.latest import latest_rows
+from lexspark.sources import pages
 from lexspark.sources.tables import table
 
 QUERIES = {}
@@ -34,6 +35,12 @@ def current(spark: SparkSession, root: str, *columns: str) -> DataFrame:
     return latest_rows(table(spark, root, "decision"), "cd", "last_fetched", list(columns or _COLUMNS))
 
 
+def current_of(spark: SparkSession, root: str, **made) -> DataFrame:
+    """(cd, …) of the current decisions, with values made from their columns before any row is moved."""
+    d = table(spark, root, "decision").select("cd", "last_fetched", *[c.alias(n) for n, c in made.items()])
+    return latest_rows(d, "cd", "last_fetched", ["cd", *made])
+
+
 def links(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "decision_theme").distinct()
 
@@ -46,7 +53,7 @@ def flt01(spark, root):
     return current(spark, root, "cd", "year").filter(F.col("year").between(2005, 2015))
 
 
-@query(f"SELECT cd, category FROM {CUR} WHERE contains(lower(category), 'υποθεσ')")
+@query(f"SELECT cd, category FROM {CUR} WHERE contains(replace(lower(category), 'ς', 'σ'), 'υποθεσ')")
 def flt02(spark, root):
     return current(spark, root, "cd", "category").filter(text.contains_folded(F.col("category"), "υποθεσ"))
 
@@ -61,7 +68,7 @@ def flt04(spark, root):
     return current(spark, root, "cd", "number").join(links(spark, root).select("cd").distinct(), "cd", "left_semi")
 
 
-@query(f"SELECT cd, year FROM {CUR} c WHERE EXISTS (SELECT 1 FROM decision_theme l JOIN theme t ON t.code = l.theme_code WHERE l.cd = c.cd AND (contains(lower(t.label), 'μίσθω') OR contains(lower(t.label), 'εγγύησ')))")
+@query(f"SELECT cd, year FROM {CUR} c WHERE EXISTS (SELECT 1 FROM decision_theme l JOIN theme t ON t.code = l.theme_code WHERE l.cd = c.cd AND (contains(replace(lower(t.label), 'ς', 'σ'), 'μίσθω') OR contains(replace(lower(t.label), 'ς', 'σ'), 'εγγύησ')))")
 def flt05(spark, root):
     label = F.col("label")
     wanted = table(spark, root, "theme").filter(text.contains_folded(label, "μίσθω") | text.contains_folded(label, "εγγύησ")).select(F.col("code").alias("theme_code"))
@@ -77,7 +84,7 @@ def where(year_from=None, year_to=None, category=None, chamber=None):
     return out & text.contains_folded(F.col("category"), category) if category else out
 
 
-@query(f"SELECT cd, year, chamber FROM {CUR} WHERE year >= 2010 AND chamber = 'Τμήμα 7ο' AND contains(lower(category), 'αστικ')")
+@query(f"SELECT cd, year, chamber FROM {CUR} WHERE year >= 2010 AND chamber = 'Τμήμα 7ο' AND contains(replace(lower(category), 'ς', 'σ'), 'αστικ')")
 def flt06(spark, root):
     return current(spark, root, "cd", "year", "chamber", "category").filter(where(year_from=2010, chamber="Τμήμα 7ο", category="ΑΣΤΙΚ")).select("cd", "year", "chamber")
 
@@ -103,22 +110,29 @@ def flt10(spark, root):
     return table(spark, root, "theme").filter(F.col("crawled_at").isNull() | (F.col("crawled_at") < stale)).select("code", "label")
 
 
-@query("SELECT code, label FROM theme")
+def optional(c, part: str | None):
+    """The condition of an optional parameter: none if it is not given."""
+    return F.lit(True) if part is None else text.contains_folded(c, part)
+
+
+@query("SELECT 'all' AS part, code, label FROM theme UNION ALL SELECT 'some', code, label FROM theme WHERE contains(replace(lower(label), 'ς', 'σ'), 'μισθωσ')")
 def flt11(spark, root):
-    part = None  # an optional parameter that is not given filters nothing
+    """An optional parameter that is not given filters nothing; given, it finds a final sigma, too."""
     t = table(spark, root, "theme")
-    return (t if part is None else t.filter(text.contains_folded(F.col("label"), part))).select("code", "label")
+    one = lambda name, part: t.filter(optional(F.col("label"), part)).select(F.lit(name).alias("part"), "code", "label")
+    return one("all", None).unionByName(one("some", "ΜΙΣΘΩΣ"))
 
 
-@query("SELECT kind, bool_or(finished_at IS NOT NULL AND coalesce(n_errors, 0) = 0) AS done FROM crawl_run GROUP BY kind")
+@query(f"SELECT year FROM {CUR} WHERE year IS NOT NULL GROUP BY year HAVING count(*) <= 25")
 def flt13(spark, root):
-    ok = F.col("finished_at").isNotNull() & (F.coalesce("n_errors", F.lit(0)) == 0)
-    return table(spark, root, "crawl_run").groupBy("kind").agg(F.bool_or(ok).alias("done"))
+    """The years whose root partition is done."""
+    d = current(spark, root, "year", "category_id", "chamber_id", "number")
+    return frontier.done_years(frontier.ledger(frontier.ladder(d, cap=25)))
 
 
 @query(f"SELECT cd FROM {CUR} WHERE length(body) > 200")
 def flt14(spark, root):
-    return current(spark, root, "cd", "body").filter(F.length("body") > 200).select("cd")
+    return current_of(spark, root, chars=F.length("body")).filter("chars > 200").select("cd")
 
 
 # ---- projections
@@ -135,7 +149,7 @@ def prj01(spark, root):
 
 @query(f"SELECT cd, length(body)::INT AS body_chars FROM {CUR}")
 def prj02(spark, root):
-    return current(spark, root, "cd", "body").select("cd", F.length("body").alias("body_chars"))
+    return current_of(spark, root, body_chars=F.length("body"))
 
 
 @query(f"SELECT cd, number::VARCHAR || '/' || year::VARCHAR AS citation FROM {CUR}")
@@ -155,15 +169,18 @@ def prj06(spark, root):
     return current(spark, root, "cd", "number", "year").select("cd", F.concat(F.lit("https://nomologia.example/apofasi?cd="), "cd", tail).alias("url"))
 
 
-@query(f"SELECT cd, coalesce(nullif(summary, ''), nullif(subject, ''), '') AS shown, coalesce(nullif(category, ''), '?') AS category FROM {CUR}")
+@query(f"""WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cd ORDER BY last_fetched) AS n FROM decision WHERE cd IS NOT NULL) WHERE n = 1)
+    SELECT c.cd, coalesce(nullif(c.number, 0), r.number) AS number, coalesce(nullif(c.year, 0), r.year) AS year, coalesce(nullif(c.category, ''), r.category) AS category, coalesce(nullif(c.chamber, ''), r.chamber) AS chamber, coalesce(nullif(c.summary, ''), r.subject) AS summary FROM {CUR} c LEFT JOIN r ON r.cd = c.cd""")
 def prj07(spark, root):
-    full = lambda c: F.nullif(F.col(c), F.lit(""))
-    return current(spark, root, "cd", "summary", "subject", "category").select("cd", F.coalesce(full("summary"), full("subject"), F.lit("")).alias("shown"), F.coalesce(full("category"), F.lit("?")).alias("category"))
+    """The current decisions with what they lack taken from their first listing, its snippet as the headnote."""
+    d = table(spark, root, "decision").filter("cd is not null")
+    first = d.groupBy("cd").agg(F.min_by(F.struct("number", "year", "category", "chamber", F.col("subject").alias("snippet")), "last_fetched").alias("b")).select("cd", "b.*")
+    return pages.merged(current(spark, root, "cd", "number", "year", "category", "chamber", "summary"), first, "cd")
 
 
 @query(f"SELECT cd, left(body, 500) AS body, length(body) > 500 AS body_truncated, length(body)::INT AS body_total_chars FROM {CUR}")
 def prj08(spark, root):
-    return current(spark, root, "cd", "body").select("cd", F.left(F.col("body"), F.lit(500)).alias("body"), (F.length("body") > 500).alias("body_truncated"), F.length("body").alias("body_total_chars"))
+    return current_of(spark, root, body=F.left(F.col("body"), F.lit(500)), body_truncated=F.length("body") > 500, body_total_chars=F.length("body"))
 
 
 # ---- joins
@@ -187,16 +204,16 @@ def meta(spark, root):
     return d.join(named, "cd", "left").groupBy("cd", "number", "year").agg(F.array_sort(F.collect_list("label")).alias("themes")).withColumn("citation", text.citation(F.col("number"), F.col("year")))
 
 
-_META = f"""SELECT c.cd, c.number::VARCHAR || '/' || c.year::VARCHAR AS citation, array_to_string(list_sort(coalesce(list(t.label) FILTER (t.label IS NOT NULL), [])), '|') AS themes
+META = f"""SELECT c.cd, c.number::VARCHAR || '/' || c.year::VARCHAR AS citation, array_to_string(list_sort(coalesce(list(t.label) FILTER (t.label IS NOT NULL), [])), '|') AS themes
     FROM {CUR} c LEFT JOIN (SELECT DISTINCT * FROM decision_theme) l ON l.cd = c.cd LEFT JOIN theme t ON t.code = l.theme_code GROUP BY c.cd, c.number, c.year"""
 
 
-@query(_META)
+@query(META)
 def jon03(spark, root):
     return meta(spark, root).select("cd", "citation", F.array_join("themes", "|").alias("themes"))
 
 
-@query(f"SELECT c.cd, c.chamber, m.citation, m.themes FROM {CUR} c JOIN ({_META}) m ON m.cd = c.cd")
+@query(f"SELECT c.cd, c.chamber, m.citation, m.themes FROM {CUR} c JOIN ({META}) m ON m.cd = c.cd")
 def jon04(spark, root):
     return current(spark, root, "cd", "chamber").join(jon03(spark, root), "cd")
 
@@ -213,9 +230,12 @@ def jon06(spark, root):
     return current(spark, root, "cd").join(links(spark, root).join(big, "theme_code", "left_semi").select("cd"), "cd", "left_semi")
 
 
-@query(f"SELECT cd, year FROM {CUR} c WHERE NOT EXISTS (SELECT 1 FROM chunk k WHERE k.cd = c.cd)")
+@query("SELECT DISTINCT cd FROM documents d WHERE cd IS NOT NULL AND NOT EXISTS (SELECT 1 FROM decision c WHERE c.cd = d.cd AND c.summary IS NOT NULL)")
 def jon07(spark, root):
-    return current(spark, root, "cd", "year").join(table(spark, root, "chunk").select("cd").distinct(), "cd", "left_anti")
+    """What is left of a queue when those that are held with a headnote are deleted."""
+    queue = table(spark, root, "documents").filter("cd is not null").select("cd").distinct()
+    held = table(spark, root, "decision").filter("summary is not null").select("cd")
+    return upsert.delete_keys(queue, held, ["cd"])
 
 
 @query(f"SELECT DISTINCT l.cd, l.theme_code FROM decision_theme l WHERE EXISTS (SELECT 1 FROM {CUR} c WHERE c.cd = l.cd)")
@@ -254,8 +274,8 @@ def agg02(spark, root):
 @query(f"""SELECT count(*) AS n, count(body) AS with_body, count(summary) AS with_summary, min(year) AS first_year, max(year) AS last_year, count(DISTINCT category_id) AS categories,
     count(*) FILTER (body IS NOT NULL AND indexed_hash IS DISTINCT FROM content_hash) AS pending, sum(length(body)) AS chars FROM {CUR}""")
 def agg03(spark, root):
-    pend = F.col("body").isNotNull() & ~F.col("indexed_hash").eqNullSafe(F.col("content_hash"))
-    d = current(spark, root).withColumn("chars_", F.length("body"))
+    same = F.col("indexed_hash").eqNullSafe(F.col("content_hash"))
+    d = current_of(spark, root, body=F.when(F.col("body").isNotNull(), 1), summary=F.when(F.col("summary").isNotNull(), 1), year=F.col("year"), category_id=F.col("category_id"), pend=F.col("body").isNotNull() & ~same, chars_=F.length("body"))
     return d.agg(
         F.count(F.lit(1)).alias("n"),
         F.count("body").alias("with_body"),
@@ -263,7 +283,7 @@ def agg03(spark, root):
         F.min("year").alias("first_year"),
         F.max("year").alias("last_year"),
         F.count_distinct("category_id").alias("categories"),
-        F.count_if(pend).alias("pending"),
+        F.count_if("pend").alias("pending"),
         F.sum("chars_").alias("chars"),
     )
 
@@ -279,9 +299,11 @@ def agg05(spark, root):
     return per.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum("n"), F.lit(0)).alias("accesses"), F.min("first").alias("oldest"), F.max("last").alias("newest"))
 
 
-@query("SELECT cd, min_by(part, ordinal) AS part, min(ordinal) AS ordinal FROM (SELECT DISTINCT id, cd, ordinal, part FROM chunk) GROUP BY cd")
+@query("SELECT cd, last_fetched, summary FROM (SELECT cd, last_fetched, summary, row_number() OVER (PARTITION BY cd ORDER BY summary IS NULL, last_fetched) AS r FROM decision WHERE cd IS NOT NULL AND last_fetched IS NOT NULL) WHERE r = 1")
 def agg09(spark, root):
-    return table(spark, root, "chunk").groupBy("cd").agg(F.min_by("part", "ordinal").alias("part"), F.min("ordinal").alias("ordinal"))
+    """The first delivery of a decision, unless it lacks a headnote and a later one has it."""
+    d = table(spark, root, "decision").filter("cd is not null and last_fetched is not null").select("cd", "last_fetched", "summary")
+    return pages.absorbed(d, "cd", "summary", ["last_fetched"])
 
 
 @query("SELECT kind, count(*) FILTER (finished_at IS NULL) AS unfinished, count(*) FILTER (finished_at IS NOT NULL AND n_errors > 0) AS failed, count(*) FILTER (finished_at IS NOT NULL AND coalesce(n_errors, 0) = 0) AS fine FROM (SELECT DISTINCT * FROM crawl_run) GROUP BY kind")
@@ -361,17 +383,22 @@ def top09(spark, root):
     return upsert.evict(last, "last", "user_id", F.expr("TIMESTAMP_NTZ '1970-01-01'"), 100)
 
 
-@query(f"SELECT cd, number, year FROM {CUR} WHERE number = 144 ORDER BY year DESC NULLS FIRST, cd")
+@query(f"SELECT cd, number, year FROM {CUR} WHERE number = (SELECT number FROM {CUR} WHERE number IS NOT NULL GROUP BY number ORDER BY count(*) DESC, number LIMIT 1) ORDER BY year DESC NULLS FIRST, cd")
 def top11(spark, root):
-    return current(spark, root, "cd", "number", "year").filter("number = 144").orderBy(F.col("year").desc_nulls_first(), "cd")
+    """All decisions of the number that recurs most, newest first."""
+    d = current(spark, root, "cd", "number", "year")
+    most = d.filter("number is not null").groupBy("number").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "number").limit(1)
+    return d.join(F.broadcast(most.select("number")), "number", "left_semi").select("cd", "number", "year").orderBy(F.col("year").desc_nulls_first(), "cd")  # a single row
 
 
 # ---- sets
 
 
-@query("SELECT DISTINCT cd FROM chunk EXCEPT SELECT cd FROM decision")
+@query("SELECT cd FROM documents WHERE cd IS NOT NULL EXCEPT SELECT cd FROM decision_theme")
 def set01(spark, root):
-    return table(spark, root, "chunk").select("cd").distinct().join(table(spark, root, "decision").select("cd").distinct(), "cd", "left_anti").filter("cd is not null")
+    """What is listed but not known."""
+    one = lambda n: table(spark, root, n).filter("cd is not null").select("cd").distinct()
+    return one("documents").join(one("decision_theme"), "cd", "left_anti")
 
 
 @query("SELECT cd FROM decision WHERE cd IS NOT NULL UNION SELECT cd FROM chunk WHERE cd IS NOT NULL UNION SELECT cd FROM documents WHERE cd IS NOT NULL")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCHEMA = "key string, value string"
 
@@ -60,10 +62,19 @@ def open_store(spark: SparkSession, kind: str, path: str | None = None) -> Table
     raise ValueError(f"no such store: {kind}")
 
 
-def decode(content: Column, content_type: Column, fallback: str = "iso-8859-1") -> Column:
-    """Text of bytes: UTF-8 if the content type says so or says JSON, else the given encoding."""
-    utf8 = F.lower(content_type).rlike("utf-?8|json")
-    return F.when(utf8, F.decode(content, "utf-8")).otherwise(F.decode(content, fallback))
+def decode(content: Column, content_type: Column, fallback: str = "cp1253") -> Column:
+    """Text of bytes: UTF-8 if the content type says so or says JSON, else the given encoding.
+
+    Bytes the encoding lacks become U+FFFD. Decoded in Arrow batches, as the
+    JVM's functions refuse code pages and malformed bytes. A null content type
+    means the given encoding.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def run(raw: pd.Series, utf8: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else bytes(x).decode("utf-8" if u else fallback, errors="replace") for x, u in zip(raw, utf8)], dtype=object)
+
+    return run(content, F.coalesce(F.lower(content_type).rlike("utf-8|json"), F.lit(False)))
 
 
 def json_or_empty(c: Column, schema: str) -> Column:

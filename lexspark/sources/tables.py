@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,32 @@ def cut(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
+
+
+def _state_of(spark: SparkSession, root: str, names: list[str]) -> str:
+    """A fingerprint of the files of some tables: their names, sizes and times."""
+    jvm = spark.sparkContext._jvm
+    seen = []
+    for n in names:
+        for f in sorted(table(spark, root, n).inputFiles()):
+            p = jvm.org.apache.hadoop.fs.Path(f)
+            st = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
+            seen.append(f"{f} {st.getLen()} {st.getModificationTime()}")
+    return hashlib.md5("\n".join(seen).encode()).hexdigest()
+
+
+def stored(spark: SparkSession, root: str, names: list[str], what: str, make: Callable[[], DataFrame], write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """A table derived from others, written once for a state of their files and read from then on.
+
+    It is written under a name of its own and then renamed, so a reader sees
+    all of it or none.
+    """
+    path = f"{shared_dir(spark)}/{what}-{_state_of(spark, root, names)}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p(f"{path}/_SUCCESS")):
+        aside = f"{path}-{uuid.uuid4().hex}"
+        write(make(), aside)
+        if not fs.rename(p(aside), p(path)):  # another run was first
+            fs.delete(p(aside), True)
+    return spark.read.parquet(path)

@@ -225,3 +225,221 @@ def test_html_text(spark):
 def test_fold(spark):
     for s in ("ΆΣΟΣ", "Ϊδιος", "ἀγορά", "é", "Λόγος"):
         assert spark.createDataFrame([(s,)], "s string").select(text.fold(F.col("s"))).first()[0] == text.fold_word(s)
+
+
+def test_fold_of_final_sigma(spark):
+    rows = [("ΥΠΟΘΕΣΕΙΣ",), ("ΝΟΜΟΣ",), ("νόμος",), ("100%",), (None,)]
+    df = spark.createDataFrame(rows, "s string")
+    has = lambda p: [r[0] for r in df.filter(text.contains_folded(F.col("s"), p)).collect()]
+    assert has("ΥΠΟΘΕΣ") == ["ΥΠΟΘΕΣΕΙΣ"] and has("νομοσ") == ["ΝΟΜΟΣ"] and has("όμος") == ["νόμος"] and has("%") == ["100%"]
+
+
+def shown(words, heads, most, least):
+    """The fragments of a headline by plain loops."""
+    at = [i for i, w in enumerate(words) if any(text.fold_word(w).startswith(h) for h in heads)]
+    if not at:
+        return " ".join(words[:least])
+    inside = lambda s: [x for x in at if s <= x < s + most]
+    one = max(at, key=lambda s: (len(inside(s)), -s))
+    rest = [s for s in at if s >= one + most or s <= one - most]
+    picked = sorted([one, *([max(rest, key=lambda s: (len(inside(s)), -s))] if rest else [])])
+    out = []
+    for s in picked:
+        size = inside(s)[-1] - s + 1
+        length = max(size, least)
+        begin = max(0, min(s - max(0, least - size) // 2, len(words) - length))
+        out.append(" ".join(f"**{w}**" if begin + i in at else w for i, w in enumerate(words[begin : begin + length])))
+    return " … ".join(out)
+
+
+def test_headlines_against_plain_loops(spark):
+    rng = random.Random(2)
+    words = ["ζημία", "δόλος", "ζημίας", "άλλο", "και", "τι", "έτσι", "πάλι"]
+    texts = [[rng.choice(words if rng.random() < 0.2 else words[3:]) for _ in range(rng.randrange(1, 150))] for _ in range(40)]
+    q = fulltext.plan("ζημία δόλος")
+    df = spark.createDataFrame([(i, " \n ".join(t)) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["h"] for r in df.select("i", fulltext.headline(F.col("t"), q).alias("h")).collect()}
+    heads = [t.words[0] for t in q.terms]
+    assert got == {i: shown(t, heads, fulltext.MOST_WORDS, fulltext.LEAST_WORDS) for i, t in enumerate(texts)}
+
+
+def test_acronyms_and_function_words_as_columns(spark):
+    words = ["ΑΠ", "ΑΚ", "ΚΠολΔ", "ΕΣΔΑ", "από", "αν", "ΑΝ", "Δημοσίου", "α", "559", "Κ1", "ΑΒΓΔΕΖΗ", "του1", "η", "Η_Θ"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.col("w").rlike(fulltext.ACRONYM).alias("a"), fulltext.searches(F.col("w")).alias("s")).collect()
+    assert [r["w"] for r in got if r["a"]] == [w for w in words if fulltext.is_acronym(w)] == ["ΑΠ", "ΑΚ", "ΚΠολΔ", "ΕΣΔΑ", "ΑΝ", "Κ1", "Η_Θ"]
+    assert [r["w"] for r in got if r["s"]] == [w for w in words if fulltext.content_words(w)]
+    assert str(fulltext.plan("“καλή πίστη”")) == "καλ & πιστ" and not fulltext.plan("“καλή πίστη”").expanded
+
+
+# ---- pages
+
+LISTING = """<table><tr><td width=30><div>1)</div></td><td width=100>
+<a onmouseout="x" class="b" href="show.asp?cd=AB1&apof=7_2011&info=ΠΟΙΝΙΚΕΣ -  ΣΤ">7/2011</a>\t</td>
+<td class="c">\n &nbsp\n</td></tr><td><a href="show.asp?cd=CD2&amp;apof=8_2012&amp;info=Νόμου+1 -  Ανευ πινακίου">8/2012</a></td><td>Πρώτη.<br>Δεύτερη &laquo;x&raquo; &#945;</td>
+<a href="show.asp?cd=EF3&apof=9_2013">9/2013</a> <td>no cell of its own</td>
+<a href="show.asp?cd=AB1&apof=7_2011&info=x">7/2011</a></td><td>later snippet</td></table>"""
+
+
+def test_listings(spark):
+    from lexspark.sources import pages
+
+    df = spark.createDataFrame([(LISTING, 1), (None, 2), ("<html>nothing</html>", 3), ("περισσότερα από 3000", 4)], "html string, page int")
+    got = {r["cd"]: tuple(r)[1:] for r in pages.listing(df, "html", "page").collect()}
+    assert got["CD2"] == (8, 2012, "Νόμου 1", "Ανευ πινακίου", "Πρώτη.\nΔεύτερη «x» α")
+    assert got["EF3"] == (9, 2013, None, None, None) and got["AB1"][4] == "later snippet" and len(got) == 3
+    first = {r["cd"]: r for r in pages.references(df, "html", "page").filter("pos = 1").collect()}
+    assert (first["AB1"]["category"], first["AB1"]["chamber"], first["AB1"]["snippet"]) == ("ΠΟΙΝΙΚΕΣ", "ΣΤ", None)
+    assert [r[0] for r in df.orderBy("page").select(pages.truncated(F.col("html"))).collect()] == [False, None, False, True]
+
+
+def test_theme_index(spark):
+    from lexspark.sources import pages
+
+    html = '<a href="r.asp?s=2&amp;code=5" class=x> Άρση_ &amp; μη </a><a href="r.asp?s=2&code=5">again</a><a href="r.asp?s=2&code=6"> </a>'
+    assert [tuple(r) for r in pages.theme_index(spark.createDataFrame([(html,)], "h string"), "h").collect()] == [(5, "Άρση  & μη", "Άρση_ & μη")]
+
+
+def test_decision_pages(spark):
+    from lexspark.sources import pages
+
+    page = """<body>Επιστροφή <script>ask("prompt")</script><font face="Arial" size="3">Απόφαση <b> 144 / 2015 </b>&nbsp<u>(Γ, ΠΟΛΙΤΙΚΕΣ)</u><p>
+<i><b>Θέμα:</b><br>Αδικοπραξία, Νομή .</i><i><b>Περίληψη:</b> Αγωγή &amp; τόκος.</i><p align='justify' style='line-height: 160%'>Αριθμός 144/2015<br>Κείμενο.<p align="center">Επιστροφή</font></body>"""
+    plain = '<font face="Arial" size="3">απόφαση <b>1/2024</b> (ΠΟΙΝΙΚΕΣ)<br>Μόνο κείμενο</font>'
+    df = spark.createDataFrame([("a", page), ("b", plain), ("c", None), ("d", "<p>x</p>")], "cd string, h string")
+    got = {r["cd"]: r for r in pages.decision_page(df, "cd", "h").collect()}
+    a = got["a"]
+    assert (a["number"], a["year"], a["chamber"], a["category"]) == (144, 2015, "Γ", "ΠΟΛΙΤΙΚΕΣ")
+    assert a["subjects"] == ["Αδικοπραξία", "Νομή"] and a["summary"] == "Αγωγή & τόκος." and a["body"] == "Αριθμός 144/2015\nΚείμενο."
+    b = got["b"]
+    assert (b["number"], b["chamber"], b["category"], b["summary"], b["subjects"]) == (1, None, "ΠΟΙΝΙΚΕΣ", None, []) and "Μόνο κείμενο" in b["body"]
+    assert got["c"]["body"] is None and got["d"]["body"] == "x" and got["d"]["number"] is None
+
+
+def test_pages_in_code_pages(spark):
+    from lexspark.sources import archive
+
+    rows = [(bytearray("Απόφαση".encode("cp1253")), "text/html"), (bytearray("Απόφαση".encode() + b"\xff"), "text/html; charset=UTF-8"), (bytearray(b"\xd2x"), None), (None, "x"), (bytearray("{}".encode()), "application/json")]
+    df = spark.createDataFrame(rows, "c binary, t string")
+    assert [r[0] for r in df.select(archive.decode(F.col("c"), F.col("t"))).collect()] == ["Απόφαση", "Απόφαση\ufffd", "\ufffdx", None, "{}"]
+    assert df.limit(1).select(text.form_encode([("α", F.lit("ΟΛΕΣ 1")), ("b", F.lit(None))])).first()[0] == "%E1=%CF%CB%C5%D3%201&b="
+
+
+# ---- cache, index, frontier
+
+
+def test_query_cache(spark, tmp_path):
+    from lexspark.operators.cache import QueryCache
+
+    c = QueryCache(spark, f"file://{tmp_path}/c")
+    at = lambda d: F.expr(f"TIMESTAMP_NTZ '2025-01-{d:02d}'")
+    ask = lambda q, d: spark.createDataFrame([(q,)], "query string").withColumn("at", at(d))
+    assert c.get(ask("Δοκιμή", 1), "m").count() == 0
+    for i in range(5):
+        c.put(spark.createDataFrame([(f"Δοκιμή {i}", [0.5 + i])], "query string, embedding array<float>").withColumn("at", at(2 + i)), "m")
+    hit = c.get(ask("ΔΟΚΙΜΗ  0", 20), "m").collect()
+    assert hit[0]["access_count"] == 2 and hit[0]["embedding"] == [0.5] and c.get(ask("δοκιμή 0", 20), "other").count() == 0
+    c.put(spark.createDataFrame([("δοκιμη 1", [9.0])], "query string, embedding array<float>").withColumn("at", at(10)), "m")
+    assert c.prune(at(21), most=2, days=365) == 3
+    left = {r["query"]: (r["embedding"], r["access_count"]) for r in c.entries().collect()}
+    assert left == {"Δοκιμή 0": ([0.5], 2), "Δοκιμή 1": ([1.5], 2)}
+    assert c.prune(at(21), days=5) == 1 and c.stats().first()["entries"] == 1
+    off = QueryCache(spark, None)
+    off.put(ask("x", 1).withColumn("embedding", F.array(F.lit(1.0).cast("float"))), "m")
+    assert off.get(ask("x", 1), "m").count() == 0 and off.prune(at(1)) == 0
+
+
+def test_passage_index(spark, tmp_path):
+    from lexspark.operators.passage_index import PassageIndex
+
+    index = PassageIndex(spark, f"file://{tmp_path}/i", 32)
+    long = "Η αγωγή είναι νόμιμη και βάσιμη κατά τα άρθρα του νόμου. " * 5
+    d = spark.createDataFrame([("a", "s", "μία σύνοψη", long), ("b", None, None, long), ("c", None, None, None)], "cd string, subject string, summary string, body string")
+    assert index.build(d) == {"decisions": 2, "passages": 3} and index.build(d) == {"decisions": 0, "passages": 0}
+    # an edit of a headnote is taken up; a decision that gives no passage any more loses its old ones
+    e = spark.createDataFrame([("a", "s", "άλλη σύνοψη", long), ("b", None, None, "μικρό")], d.schema)
+    assert index.build(e)["decisions"] == 2
+    rows = index.passages().collect()
+    assert {r["cd"] for r in rows} == {"a"} and any("άλλη" in r["content"] for r in rows) and all(len(r["embedding"]) == 32 for r in rows)
+    with pytest.raises(ValueError, match="local:hash:32"):
+        index.check([0.0] * 16)
+    with pytest.raises(RuntimeError, match="reset"):
+        PassageIndex(spark, f"file://{tmp_path}/i", 16).migrate()
+    assert not index.has_vector_index()
+    index.build_vector_index()
+    q = rows[0]["embedding"]
+    assert index.has_vector_index() and round(index.nearest(q, 1, probes=1).first()["score"], 5) == 1.0
+    index.reset()
+    assert index.passages().count() == 0 and not index.has_vector_index() and index.space() is None
+
+
+def test_frontier(spark):
+    from lexspark.operators import frontier
+
+    rows = [(2001, 1, 2, i) for i in range(1, 60)] + [(2001, 2, 3, 5)] + [(2002, 1, 2, 7), (2002, None, None, None), (None, 1, 2, 3)]
+    asked = frontier.ladder(spark.createDataFrame(rows, "year int, category_id int, chamber_id int, number int"), cap=10)
+    got = asked.collect()
+    root = {r["year"]: r["truncated"] for r in got if r["category_id"] == 6}
+    assert root == {2001: True, 2002: False} and all(r["n_found"] <= 10 for r in got)
+    halves = [r for r in got if r["chamber_id"] == 2 and (r["lo"], r["hi"]) != frontier.NUMBERS]
+    assert len({(r["lo"], r["hi"]) for r in halves}) == len(halves) == 7 and halves
+    ledger = frontier.ledger(asked)
+    assert [r[0] for r in frontier.done_years(ledger).collect()] == [2002]
+    assert sorted(r[0] for r in frontier.years_to_do(spark, 2001, 2003, ledger).collect()) == [2001, 2003]
+
+
+def test_queue_is_drained_in_batches(spark):
+    from lexspark.operators import frontier
+
+    queue = spark.createDataFrame([("a", 1, 2001, 0), ("b", 2, 2002, 4), ("c", 3, 2003, 5), ("d", None, None, 0)], "cd string, number int, year int, attempts int")
+    pages = spark.createDataFrame([("a", "x" * 300), ("b", "short")], "cd string, body string")
+    stored = spark.createDataFrame([("a", "other")], "cd string, digest string")
+    one = frontier.drain(queue, pages, stored, batch=2)
+    assert {r["cd"]: (r["attempts"], r["outcome"]) for r in one.collect()} == {"a": (0, "changed"), "b": (5, "error")}
+    left = frontier.after(queue, one)
+    assert {r["cd"]: r["attempts"] for r in left.collect()} == {"b": 5, "c": 5, "d": 0}
+    assert [r["cd"] for r in frontier.drain(left, pages, stored).collect()] == ["d"]
+
+
+# ---- incremental layout
+
+
+def test_the_work_sees_each_row_once_and_parts_follow_the_rows(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    seen = spark.sparkContext.accumulator(0)
+
+    def work(rows):
+        @F.udf("int")
+        def look(v):
+            seen.add(1)
+            return v
+
+        return rows.withColumn("v", look("v"))
+
+    df = spark.createDataFrame([(f"k{i}", i) for i in range(1000)], "cd string, v int")
+    out, changed = incremental.refresh(df, "cd", ["v"], work, path)
+    assert seen.value == 1000 and out.count() == 1000
+    big = spark.createDataFrame([(f"k{i}", i) for i in range(40_000)], "cd string, v int")
+    out, changed = incremental.refresh(big, "cd", ["v"], lambda r: r, path)
+    assert out.count() == 40_000 and len(changed) > 300 and incremental.parts_for(40_000) == 400
+
+
+def test_hybrid_shows_what_it_found(spark):
+    d = spark.createDataFrame([("a", 2001, 1), ("b", 2002, 2), ("c", 2003, 3)], "cd string, year int, number int")
+    c = spark.createDataFrame([(1, "a", "body", 1, "ζημία από δόλο", [1.0, 0.0]), (2, "a", "summary", 0, "η ζημία", [0.0, 1.0]), (3, "b", "body", 0, "τόκος", [1.0, 0.1])], "id long, cd string, part string, ordinal int, content string, embedding array<float>")
+    ci = fulltext.postings(c, "id", "content")
+    di = fulltext.postings(spark.createDataFrame([("c", "ζημία")], "cd string, t string"), "cd", "t")
+    meta = d.select("cd", F.concat_ws("/", "number", "year").alias("citation"))
+    got = fusion.hybrid(d, c, ci, di, "ζημία", [1.0, 0.0], meta=meta).collect()
+    by = {r["doc"]: r for r in got}
+    assert [r["doc"] for r in got][0] == "a" and by["a"]["citation"] == "1/2001" and by["a"]["matched_by"] == ["chunk_lexical", "semantic"]
+    assert [p["part"] for p in by["a"]["passages"]] == ["summary", "body"] and by["a"]["passages"][0]["text"] == "η **ζημία**"
+    assert by["c"]["passages"] == [] and by["c"]["matched_by"] == ["doc_lexical"]
+    assert [r["doc"] for r in fusion.hybrid(d, c, ci, di, "  ", limit=2).collect()] == ["c", "b"]
+    with pytest.raises(ValueError):
+        fusion.hybrid(d, c, ci, di, "x", mode="fuzzy")
+
+
+def test_ties_come_as_they_first_appear(spark):
+    rows = [("doc_lexical", "z", 1), ("chunk_lexical", "b", 2), ("chunk_lexical", "c", 1), ("semantic", "y", 2), ("semantic", "x", 1)]
+    f = fusion.fuse(spark.createDataFrame(rows, "source string, doc string, rank int"), {"chunk_lexical": 1.0, "doc_lexical": 1.0, "semantic": 1.0})
+    assert [r["doc"] for r in fusion.top(f, 5).collect()] == ["c", "z", "x", "b", "y"]
