@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,9 +165,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _encode(path: str, out: str, counts_only: bool):
+def _encode(name: str, out: str, counts_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(SparkFiles.get(name))
         for batch in batches:
             words, offsets = flat(batch.column("_pieces"))
             coded = words.dictionary_encode()
@@ -194,12 +195,18 @@ def _pieces(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.coalesce(F.regexp_extract_all(F.col(text), F.lit(PRETOKEN), F.lit(0)), F.array().cast("array<string>")).alias("_pieces"))
 
 
+def _shipped(df: DataFrame, ranks: str) -> str:
+    """Sends the vocabulary file from the driver to all executors; its name there."""
+    df.sparkSession.sparkContext.addFile(ranks)
+    return os.path.basename(ranks)
+
+
 def encode(df: DataFrame, text: str = "text", keep: list[str] | None = None, out: str = "ids", ranks: str = DEFAULT_RANKS) -> DataFrame:
     """The columns ``keep`` and the token ids of ``text`` as ``out`` (array of int)."""
     keep = keep or ["doc_id"]
     src = _pieces(df, text, keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_pieces")
-    return src.mapInArrow(_encode(ranks, out, False), f"{schema}, `{out}` array<int>")
+    return src.mapInArrow(_encode(_shipped(df, ranks), out, False), f"{schema}, `{out}` array<int>")
 
 
 def count_tokens(df: DataFrame, text: str = "text", keep: list[str] | None = None, out: str = "n_tokens", ranks: str = DEFAULT_RANKS) -> DataFrame:
@@ -207,4 +214,4 @@ def count_tokens(df: DataFrame, text: str = "text", keep: list[str] | None = Non
     keep = keep or ["doc_id"]
     src = _pieces(df, text, keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_pieces")
-    return src.mapInArrow(_encode(ranks, out, True), f"{schema}, `{out}` long")
+    return src.mapInArrow(_encode(_shipped(df, ranks), out, True), f"{schema}, `{out}` long")

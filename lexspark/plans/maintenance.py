@@ -358,7 +358,7 @@ def src15(spark, root):
     return spark.createDataFrame([(m["dim"], m["model"])], "dim int, model string")
 
 
-@query(f"""WITH w AS (SELECT cd, unnest(string_split(trim(regexp_replace(lower(replace(summary, 'Σ', 'σ')), '[\\s\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')), ' ')) AS w FROM {CUR} WHERE summary IS NOT NULL AND NOT contains(summary, 'ς'))
+@query(f"""WITH w AS (SELECT cd, unnest(string_split(trim(regexp_replace(lower(replace(summary, 'Σ', 'σ')), '[\\x0b\\x{{85}}\\x{{1680}}\\x{{2028}}\\x{{2029}}\\s\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')), ' ')) AS w FROM {CUR} WHERE summary IS NOT NULL AND NOT contains(summary, 'ς'))
     SELECT cd, count(*)::INT AS n FROM w WHERE w <> '' GROUP BY cd""")
 def jon11(spark, root):
     """Texts and their vectors meet by key: the squared lengths before normalising give the numbers of words back."""
