@@ -443,3 +443,14 @@ def test_ties_come_as_they_first_appear(spark):
     rows = [("doc_lexical", "z", 1), ("chunk_lexical", "b", 2), ("chunk_lexical", "c", 1), ("semantic", "y", 2), ("semantic", "x", 1)]
     f = fusion.fuse(spark.createDataFrame(rows, "source string, doc string, rank int"), {"chunk_lexical": 1.0, "doc_lexical": 1.0, "semantic": 1.0})
     assert [r["doc"] for r in fusion.top(f, 5).collect()] == ["c", "z", "x", "b", "y"]
+
+
+def test_a_stream_keeps_the_latest_of_every_key(spark, tmp_path):
+    from lexspark.streaming import refresh
+
+    base, schema = f"file://{tmp_path}", "cd string, v int, t string"
+    for rows in ([("a", 1, "x"), ("a", 2, "y"), (None, 9, "z")], [("a", 1, "old"), ("b", None, "n"), ("b", 3, "m")], []):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{base}/in")
+        refresh.stream_upsert(spark, f"{base}/in", schema, "cd", "v", f"{base}/out", f"{base}/state").awaitTermination()
+    got = refresh.current_state(spark, f"{base}/out", "cd", "v")
+    assert sorted(map(tuple, got.collect())) == [("a", 2, "y"), ("b", 3, "m")]
