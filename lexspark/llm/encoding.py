@@ -355,12 +355,14 @@ def damaged_tokens(vocabulary: DataFrame) -> DataFrame:
     return best.groupBy("token").agg(pick).select("token", "b.*")
 
 
-def _suspects(filter_words, field: str):
+def _suspects(filter_words, field: str, filter_rows=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         bits = filter_words.value if filter_words is not None else None
         for part in slices(batches, "text"):
+            if filter_rows is not None:
+                part = part.filter(pa.array(in_bloom(filter_rows.value, part.column("h").to_numpy().view("u8"))))
             words, offsets = flat(pc.split_pattern_regex(strings(part.column("text")), TOKEN))
             coded = pc.utf8_trim(words, EDGE).dictionary_encode()
             own = coded.dictionary.to_pylist()
@@ -411,21 +413,26 @@ def viterbi(pos: list[int], gain: list[float], way: list[str]) -> tuple[float, l
     return score, out[::-1]
 
 
-def damaged_spans(df: DataFrame, key: str, version: str, fields: list[str], wanted: list[str] | None = None) -> DataFrame:
+def damaged_spans(df: DataFrame, key: str, version: str, fields: list[str], wanted: list[str] | None = None, within: DataFrame | None = None) -> DataFrame:
     """(key, version, field, score, fixes): the texts that hold damage; fixes are (pos, token, meant, complete, way).
 
     Words are counted over all fields; texts are those of the fields wanted
-    (all if none are named). Runs over all rows; the caller keeps the current ones.
+    (all if none are named). Runs over all rows; the caller keeps the current
+    ones. A caller that asks for some rows only names them by ``within`` (key,
+    version): words are still those of all, other texts are passed over (by a
+    Bloom filter, so a few of them may be judged, too).
     """
     vocabulary = cut(tokens(df, fields))
     bad = cut(damaged_tokens(vocabulary))
     own = bloom(bad, F.xxhash64("token"))
     bits = None if own is None else df.sparkSession.sparkContext.broadcast(own)
+    only = None if within is None else bloom(within, F.xxhash64("key", "version"))
+    rows = None if only is None else df.sparkSession.sparkContext.broadcast(only)
     found = None
     for f in wanted or fields:
-        src = df.filter(F.col(f).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(version).alias("version"), F.col(f).alias("text"))
+        src = df.filter(F.col(f).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(version).alias("version"), F.col(f).alias("text"), F.xxhash64(key, version).alias("h"))
         kind = f"key {src.schema['key'].dataType.simpleString()}, version {src.schema['version'].dataType.simpleString()}, field string, pos int, token string"
-        one = src.mapInArrow(_suspects(bits, f), kind)
+        one = src.mapInArrow(_suspects(bits, f, rows), kind)
         found = one if found is None else found.unionByName(one)
     hits = found.join(bad, "token")
     per = hits.groupBy("key", "version", "field").agg(F.array_sort(F.collect_set(F.struct("pos", "token", "meant", "gain", "way", "complete"))).alias("hits"))

@@ -10,9 +10,9 @@ from lexspark.operators.latest import keep_latest, latest_rows, latest_versions
 from lexspark.sources.tables import cut, table
 
 
-def _garbled(decision: DataFrame, fields: list[str]) -> DataFrame:
+def _garbled(decision: DataFrame, fields: list[str], within: DataFrame | None = None) -> DataFrame:
     """(cd, field, last_fetched, score, fixes) of current texts that hold damage; words are counted over bodies and headnotes, whichever fields are asked for."""
-    spans = encoding.damaged_spans(decision, "cd", "last_fetched", ["body", "summary"], fields).withColumnsRenamed({"key": "cd", "version": "last_fetched"})
+    spans = encoding.damaged_spans(decision, "cd", "last_fetched", ["body", "summary"], fields, within).withColumnsRenamed({"key": "cd", "version": "last_fetched"})
     return keep_latest(spans, latest_versions(decision, "cd", "last_fetched"), "cd", "last_fetched").dropDuplicates(["cd", "field"])
 
 
@@ -67,8 +67,10 @@ def _now(found: DataFrame, spark: SparkSession, root: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
-    odd = _now(lookalike.irregular(_spelled(spark, root)), spark, root)
-    garbled = _garbled(table(spark, root, "decision"), ["body"]).select(F.lit("decision.body").alias("field"), F.col("cd").alias("key"))
+    odd = cut(_now(lookalike.irregular(_spelled(spark, root)), spark, root))
+    # only irregular bodies are asked for damage
+    bodies = odd.filter("field = 'decision.body'").select("key", "version")
+    garbled = _garbled(table(spark, root, "decision"), ["body"], bodies).select(F.lit("decision.body").alias("field"), F.col("cd").alias("key"))
     return odd.join(garbled, ["field", "key"], "left_anti").select("field", F.col("key").alias("record_key")).distinct()
 
 
