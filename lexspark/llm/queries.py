@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.llm import encoding, lookalike, mixture, neardup, terms, tokenizer, truncation, vectors
-from lexspark.operators.latest import keep_latest, latest_rows, latest_versions
+from lexspark.operators.latest import keep_latest, latest_versions
 from lexspark.sources.tables import cut, table
 
 
@@ -31,11 +31,10 @@ def p1_nearest(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _term_counts(spark: SparkSession, root: str, n: int = 1) -> DataFrame:
-    chunk = table(spark, root, "chunk").filter(F.col("id").isNotNull()).select("id", "content").dropDuplicates(["id"])
-    body = latest_rows(table(spark, root, "decision"), "cd", "last_fetched", ["cd", "body"])
     out = None
-    for field, df, text in (("chunk.content", chunk, "content"), ("decision.body", body, "body")):
-        one = terms.marked(terms.ngram_counts(df, text, n)).select(F.lit(field).alias("field"), "n", "term", "tf", "df", "mark")
+    for field, name, key, version, text in (("chunk.content", "chunk", "id", None, "content"), ("decision.body", "decision", "cd", "last_fetched", "body")):
+        counts = terms.record_counts(table(spark, root, name), key, version, text, n)
+        one = terms.marked(counts).select(F.lit(field).alias("field"), "n", "term", "tf", "df", "mark")
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -26,7 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import flat, rows_of, slices, strings
+from lexspark.llm.common import bloom, flat, in_bloom, rows_of, slices, strings
+from lexspark.operators.latest import latest_rows
 from lexspark.sources.tables import cut
 
 #: A term is a maximal run of letters: what lies between is dropped.
@@ -72,9 +73,13 @@ def intervals(codes: np.ndarray, record: np.ndarray, n: int) -> list[tuple[np.nd
     return out
 
 
-def _count(n: int):
+def _count(n: int, but=None):
+    """Counts of a block; with ``but`` (a Bloom filter over the column h) rows in it are left to others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", BLOCK_BYTES // 4):
+            if but is not None:
+                part = part.filter(pa.array(~in_bloom(but.value, part.column("h").to_numpy().view("u8"))))
             words, offsets = flat(pc.split_pattern_regex(strings(part.column("text")), NOT_LETTERS))
             filled = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
             record = rows_of(offsets)[filled].astype("i4")
@@ -101,6 +106,39 @@ def ngram_counts(df: DataFrame, text: str, n: int = 1) -> DataFrame:
     return src.mapInArrow(_count(n), "n int, term string, tf long, df long").groupBy("n", "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
+def _only(rows):
+    """The rows whose h may be in a Bloom filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(in_bloom(rows.value, b.column("h").to_numpy().view("u8"))))
+
+    return run
+
+
+def record_counts(df: DataFrame, key: str, version: str | None, text: str, n: int = 1) -> DataFrame:
+    """``ngram_counts`` of the current row of every key (the greatest ``version``; without one, rows of a key are exact repeats).
+
+    Only the texts of keys with several rows are shuffled to find their
+    current row; all others are counted where they are. Which those keys are is
+    told by a Bloom filter (a key passed wrongly is shuffled in vain); if they
+    are more than the largest filter holds, all texts are shuffled.
+    """
+    v = F.lit(0) if version is None else F.col(version)
+    own = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), v.alias("version"), F.col(text).alias("text"), F.xxhash64(key).alias("h"))
+    several = own.groupBy("key", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    bits = bloom(several, F.col("h"))
+    if bits is None:
+        return ngram_counts(latest_rows(own, "key", "version", ["text"]), "text", n)
+    rows = df.sparkSession.sparkContext.broadcast(bits)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema)
+    moved = latest_rows(own.mapInArrow(_only(rows), fields), "key", "version", ["text"])
+    kind = "n int, term string, tf long, df long"
+    stay = own.filter("text is not null").select("text", "h").mapInArrow(_count(n, rows), kind)
+    every = stay.unionByName(moved.filter("text is not null").select("text").mapInArrow(_count(n), kind))
+    return every.groupBy("n", "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+
+
 def marked(counts: DataFrame, rare_below: int = 3, common_share: tuple[int, int] = (3, 10)) -> DataFrame:
     """``counts`` with ``mark``: rare (fewer records than ``rare_below``), common (more than the share), else null.
 

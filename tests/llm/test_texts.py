@@ -516,3 +516,22 @@ def test_schedule_of_pieces():
         seen[s] += sizes[s][j]
         assert all(abs(seen[x] - gone * own[x] / sum(own.values())) < 200 for x in own)
     assert seen == own and mixture.schedule({}) == []
+
+
+@pytest.mark.parametrize("most", [1 << 27, 1])
+def test_counts_of_current_rows(spark, monkeypatch, most):
+    from lexspark.llm import common
+
+    monkeypatch.setattr(common, "MOST_BITS", most)
+    rng = random.Random(11)
+    rows = [(f"k{i}", v, " ".join(rng.choice("αβγδε") for _ in range(6))) for i in range(300) for v in range(rng.choice([1, 1, 1, 3]))]
+    rows += [rows[5]] * 40 + [(None, 1, "ζ"), ("n", 2, None), ("n", 1, "η"), ("e", 1, "")]
+    df = spark.createDataFrame([(*r, 7) for r in rows], "k string, v int, t string, h int").repartition(5)
+    best = {}
+    for k, v, t in rows:
+        if k is not None and (k not in best or v > best[k][0]):
+            best[k] = (v, t)
+    texts = [t for _, t in best.values() if t is not None]
+    got = {r["term"]: (r["tf"], r["df"]) for r in terms.record_counts(df, "k", "v", "t", 2).collect() if r["n"]}
+    assert got == brute(texts, 2)
+    assert sum(r["df"] for r in terms.record_counts(df, "k", "v", "t").collect() if r["n"] == 0) == len(texts)

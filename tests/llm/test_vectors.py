@@ -111,3 +111,15 @@ def test_leaves_hold_all_rows():
     got = V.leaves(p, 130)
     assert sorted(np.concatenate(got).tolist()) == list(range(1000)) and max(map(len, got)) <= 130
     assert V.trees_for(np.full(10, 0.4), 3, 0.9) > V.trees_for(np.full(10, 0.9), 3, 0.9)
+
+
+def test_knn_of_copies_and_of_nothing(spark):
+    e, f = [1.0] + [0.0] * 63, [1.0, 1.0] + [0.0] * 62
+    rows = [(i, e, "", 0) for i in range(30)] + [(99, f, "", 0), (100, [0.0] * 64, "", 0), (101, None, "", 0), (None, e, "", 0)]
+    got = V.knn(frame(spark, rows), k=3).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["q"], []).append((r["rank"], r["id"], round(r["cosine"], 3)))
+    assert sorted(by[0]) == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0)] and sorted(by[29])[0] == (1, 0, 1.0)
+    assert sorted(by[99]) == [(1, 0, 0.707), (2, 1, 0.707), (3, 2, 0.707)] and set(by) == {*range(30), 99}
+    assert V.knn(frame(spark, [])).count() == 0
