@@ -273,9 +273,11 @@ def search(x: np.ndarray, p: np.ndarray, k: int, cosine: float) -> tuple[np.ndar
             n = np.count_nonzero(test)
             if n * 8 > test.size:
                 c = np.where(test, rows @ x[b : b + CHUNK].T, np.float32(-9))
-                # no more than each row's k best (one more, as it may meet itself) and their equals
-                few = min(k + 1, c.shape[1])
-                i, j = np.nonzero(c >= np.maximum(least, np.partition(c, -few, axis=1)[:, -few])[:, None])
+                good, few = c >= least[:, None], min(k + 1, c.shape[1])
+                if np.count_nonzero(good) > 4 * few * len(rows):
+                    # no more than each row's k best (one more, as it may meet itself) and their equals
+                    good &= c >= np.partition(c, -few, axis=1)[:, -few][:, None]
+                i, j = np.nonzero(good)
                 c = c[i, j]
             elif n:
                 i, j = np.nonzero(test)
